@@ -1,10 +1,11 @@
 """Connected groups of similar items, from the buckets they share, without all pairs of a bucket.
 
 Native DataFrame operations only. Items meet in buckets (bands of a signature). Each bucket first
-compares its members with one centre; components over the confirmed links then show which buckets
-still hold members of different components, and only pairs across components are looked at again,
-outside the bucket's largest component. Every pair that shares a bucket and passes the sketch test
-is thus either confirmed, refused by ``verify``, or already inside one component.
+compares its members with one centre; components over these edges then show which buckets still
+hold members of different components, and only pairs across components are looked at again,
+outside the bucket's largest component. With ``linked_components`` every pair that shares a bucket
+and passes the sketch test is thus either confirmed, refused by ``verify``, or already inside one
+component; with ``families`` it is inside one family, to be searched by its own means.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, join_unique
+from .shared import Scratch, join_unique, maybe_in
 
 
 def _hamming(a: str, b: str):
@@ -50,38 +51,76 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     )
 
 
-def linked_components(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], max_hamming: int, scratch: Scratch
-) -> DataFrame:
-    """(id, component) of every item that is linked with another one.
+def shared_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, s1, s2, n): the rows of ``members`` (key, id, s1, s2) whose bucket holds n > 1 of them.
 
-    ``members`` has (key, id, s1, s2): an item's bucket and its sketch of up to 128 bits, the same
-    for all its rows; ``verify`` takes pairs (a, b) with a > b and returns the linked ones.
+    Buckets are counted by name alone, and a bitmap of the shared ones keeps most others from
+    being shuffled with their items.
     """
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "s1", "s2")).alias("centre"))
-    size = scratch.table(size.filter("n > 1"), "buckets")
-    shared = scratch.table(join_unique(members, size, "key", "n", "inner"), "members")
-    star = shared.select(F.col("id").alias("a"), F.col("centre.id").alias("b"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("centre.s1").alias("y1"), F.col("centre.s2").alias("y2"))
-    star = star.filter(F.col("a") > F.col("b")).filter(_hamming("x", "y") <= max_hamming).select("a", "b").distinct()
-    star = scratch.table(star, "star")
-    links = scratch.table(verify(star).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    first = scratch.table(components(links, scratch), "components")
+    shared = scratch.table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-keys")
+    return scratch.table(join_unique(maybe_in(members, "key", shared, "key"), shared, "key", "n", "inner"), "shared")
+
 
-    # Only buckets of three or more can hold a pair that has not been looked at.
-    rest = shared.filter("n > 2").select("key", "id", "s1", "s2")
-    rest = rest.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = scratch.table(rest, "rest")
+def star_pairs(shared: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of each bucket's members with its smallest one, sketches near."""
+    centre = shared.groupBy("key").agg(F.min(F.struct("id", "s1", "s2")).alias("c"), F.count(F.lit(1)).alias("n"))
+    pairs = join_unique(shared.drop("n"), scratch.table(centre, "centres"), "key", "n", "inner")
+    pairs = pairs.select(F.col("id").alias("a"), F.col("c.id").alias("b"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("c.s1").alias("y1"), F.col("c.s2").alias("y2"))
+    return scratch.table(pairs.filter(F.col("a") > F.col("b")).filter(_hamming("x", "y") <= max_hamming).select("a", "b").distinct(), "star")
+
+
+def cross_pairs(shared: DataFrame, component: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket but different components, sketches near.
+
+    Of each bucket the members outside its largest component meet all others; a bucket in a single
+    component, or of two members, has nothing to add to its star.
+    """
+    rest = shared.filter("n > 2").select("key", "id", "s1", "s2").join(component, "id", "left")
+    rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest")
     parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("n"))
     parts = scratch.table(parts.filter("parts > 1").select("key", "n", F.col("main.component").alias("main")), "unresolved")
-    open_ = scratch.table(join_unique(rest, parts, "key", "n", "inner"), "open")
+    open_ = scratch.table(join_unique(maybe_in(rest, "key", parts, "key"), parts, "key", "n", "inner"), "open")
     left = open_.filter("component <> main").select("key", "main", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
     right = open_.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
     near = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))) & (_hamming("x", "y") <= max_hamming)
-    pairs = left.join(right, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return left.join(right, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def families(members: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
+    """(id, component): groups so wide that every two items of one bucket with near sketches are in one.
+
+    Nothing is verified here; the links are to be looked for within each family.
+    """
+    shared = shared_buckets(members, scratch)
+    edges = _edges(star_pairs(shared, max_hamming, scratch))
+    while True:
+        found = scratch.table(components(edges, scratch), "families")
+        more = scratch.table(_edges(cross_pairs(shared, found, max_hamming, scratch)), "across")
+        if more.isEmpty():
+            return found
+        edges = edges.unionByName(more)
+
+
+def linked_components(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], max_hamming: int, scratch: Scratch
+) -> DataFrame:
+    """(id, component) of every item that is linked with another one.
+
+    ``members`` has (key, id, s1, s2): an item's bucket and its sketch of up to 128 bits, the same
+    for all its rows; ``verify`` takes pairs (a, b) with a > b and returns the linked ones.
+    """
+    shared = shared_buckets(members, scratch)
+    star = star_pairs(shared, max_hamming, scratch)
+    links = scratch.table(_edges(verify(star)), "links")
+    first = scratch.table(components(links, scratch), "components")
+    pairs = cross_pairs(shared, first, max_hamming, scratch)
     pairs = scratch.table(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    more = scratch.table(more, "more")
+    more = scratch.table(_edges(verify(pairs)), "more")
     if more.isEmpty():
         return first
     return scratch.table(components(links.unionByName(more), scratch), "components")

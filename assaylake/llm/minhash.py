@@ -2,7 +2,8 @@
 
 Each of PERMUTATIONS hash functions gives both the minimum and the maximum over a text's shingles,
 so that half the hash evaluations fill the signature. Bands of it name buckets; texts that share a
-bucket are linked if their full shingle sets are alike, see ``linking``. Equal sets are one node.
+bucket and whose sketches are near fall into one family, see ``linking``; inside each family, full
+shingle sets are compared in tiles. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linking import linked_components
-from .shared import Scratch, join_salted, join_unique, maybe_in
+from .linking import components, families
+from .shared import Scratch, join_unique, maybe_in, split_by
 
 #: 2 * PERMUTATIONS = BANDS * ROWS. A pair at similarity 0.8 misses all bands with probability 3e-6.
 PERMUTATIONS, BANDS, ROWS = 80, 32, 5
@@ -32,6 +33,8 @@ _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _BAND_MIX = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SEED = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 _BLOCK = 8192
+#: Sets, and shingles, of a chunk of a family; a tile holds two chunks. Columns of a product.
+TILE_SETS, TILE_SHINGLES, _COLUMNS = 512, 600_000, 4096
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -81,13 +84,18 @@ def set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def hashed(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id, bands and sketch of every row; empty sets have no bands."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, dk, text): dk names a row by its id and text, nulls included."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("dk"), "text")
+
+
+def hashed(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, dk, n_shingles, set_id, bands and sketch of every row; empty sets have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, ids, sigs = [], [], []
-            for text in b.column(1).cast(pa.large_binary()).to_pylist():
+            for text in b.column(2).cast(pa.large_binary()).to_pylist():
                 s = shingle_set(text or b"", width)
                 sizes.append(len(s))
                 ids.append(set_id(s))
@@ -95,39 +103,119 @@ def hashed(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
             sig = np.array(sigs, dtype=np.uint64).reshape(-1, 2 * PERMUTATIONS)
             names, two = bands(sig), sketch(sig)
             names = pa.array([list(x) if n else [] for x, n in zip(names, sizes, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), names, pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "n_shingles", "set_id", "bands", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), names, pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "dk", "n_shingles", "set_id", "bands", "s1", "s2"])
 
     long = T.LongType()
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_shingles", long), T.StructField("set_id", long), T.StructField("bands", T.ArrayType(long)), T.StructField("s1", long), T.StructField("s2", long)])
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, out)
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, long) for c in ("dk", "n_shingles", "set_id"))]
+    fields += [T.StructField("bands", T.ArrayType(long)), T.StructField("s1", long), T.StructField("s2", long)]
+    return _keyed(docs).mapInArrow(run, T.StructType(fields))
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles) with the sorted hashes as bytes, of rows (doc, text)."""
+def tile_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect, through links alone, what the links among these sets connect.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The sizes of all intersections are one matrix product of the sets' incidence with itself.
+    """
+    ids, at = np.unique(np.array(ids, dtype=np.int64), return_index=True)
+    sets = [sets[i] for i in at]
+    n = len(ids)
+    if n < 2:
+        return []
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(int(ids[1]), int(ids[0]))] if 100 * both >= percent * (size.sum() - both) else []
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    number = np.cumsum(times > 1) - 1
+    row, column = row[times[column] > 1], number[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n))
+    for low in range(0, int(number[-1]) + 1, _COLUMNS):
+        a, b = np.searchsorted(column, [low, low + _COLUMNS])
+        x = np.zeros((n, _COLUMNS), dtype=np.float32)
+        x[row[a:b], column[a:b] - low] = 1
+        both += x @ x.T
+    like = 100 * both >= percent * (size[:, None] + size - both)
+    np.fill_diagonal(like, True)
+    label = np.arange(n)
+    while True:
+        then = np.where(like, label, n).min(axis=1)
+        then = then[then]
+        if (then == label).all():
+            return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
+        label = then
+
+
+def _links(docs: DataFrame, tiled: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): edges among the sets of each tile. ``tiled`` has (dk, set_id, tiles) for each set."""
+    held = maybe_in(_keyed(docs).select("dk", "text"), "dk", tiled, "dk").join(tiled, "dk", "inner").select("tiles", "set_id", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).cast(pa.large_binary()).to_pylist()
-            for i in range(0, len(texts), 256):
-                sets = [shingle_set(t or b"", width) for t in texts[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "set_id long, shingles binary")
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                out = [(t, j, shingle_set(x or b"", width).tobytes()) for ts, j, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()).to_pylist(), strict=True) for t in ts]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["tile", "id", "shingles"])
 
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held = None, [], []
 
-def alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the rows (a, b, x, y) whose sets x and y are alike."""
+        def found() -> pa.RecordBatch:
+            out = tile_links(ids, held, percent)
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                both = 0 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) else len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for tile, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if tile != now:
+                    yield found()
+                    now, ids, held = tile, [], []
+                ids.append(i)
+                held.append(np.frombuffer(x.as_py(), dtype=np.uint64))
+        yield found()
+
+    rows = held.mapInArrow(sets, "tile long, id long, shingles binary")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(link, "u long, v long")
+
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _tile(family, i, j):
+    return F.xxhash64(family, i, j)
+
+
+def link_families(docs: DataFrame, found: DataFrame, sets: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, component) over the links inside each family; see ``families``.
+
+    A family is cut into chunks of bounded size. Its first chunk meets each other one in a tile,
+    which is all of a small family; what is then outside the largest component meets all chunks.
+    """
+    rows = found.join(sets.select("set_id", "dk", "n_shingles"), F.col("id") == F.col("set_id")).select("set_id", "dk", "n_shingles", F.col("component").alias("family"))
+    chunks = lambda count, words: F.greatest(F.ceil(count / TILE_SETS), F.ceil(words / TILE_SHINGLES), F.lit(1))
+    size = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    size = scratch.table(size.select("family", "n", chunks(F.col("n"), F.col("w")).alias("chunks")), "family-sizes")
+    rows = join_unique(rows, size, "family", "n", "inner")
+    rows = scratch.table(rows.withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")), "family-members")
+    first = F.when(F.col("chunk") > 0, F.array("chunk")).when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1))
+    tiled = rows.select("dk", "set_id", F.transform(first, lambda j: _tile(F.col("family"), F.lit(0).cast("long"), j)).alias("tiles"))
+    links = scratch.table(_links(docs, tiled, width, percent), "links")
+    done = scratch.table(components(links, scratch), "components")
+
+    large = rows.filter("chunks > 2")
+    if large.isEmpty():
+        return done
+    large = large.join(done.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    large = scratch.table(large.drop("n"), "large")
+    parts = large.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
+    parts = parts.groupBy("family").agg(F.max(F.struct("c", "component", "w")).alias("main"), F.sum("c").alias("n"), F.sum("w").alias("w"))
+    parts = parts.filter("n > main.c").select("family", "n", F.col("main.component").alias("main"), chunks(F.col("n") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("others"))
+    large = join_unique(large, scratch.table(parts, "large-parts"), "family", "n", "inner")
+    other = F.pmod(F.xxhash64("set_id", F.lit(1)), "others")
+    rows_of = lambda i, j: F.transform(i, lambda x: F.transform(j, lambda y: _tile(F.col("family"), x + 1, y)))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    tiles = F.flatten(rows_of(upto(F.col("others")), F.array("chunk")))
+    tiles = F.when(F.col("component") == F.col("main"), tiles).otherwise(F.array_union(tiles, F.flatten(rows_of(F.array(other), upto(F.col("chunks"))))))
+    more = scratch.table(_links(docs, large.select("dk", "set_id", tiles.alias("tiles")), width, percent), "more")
+    return scratch.table(components(links.unionByName(more), scratch), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
@@ -138,36 +226,50 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
     component_id is the smallest doc_id of the component (nulls aside); a null doc_id without
     others has a null component and is not kept. Rows that repeat a doc_id are rows of their own.
     """
+    return _near_duplicates(docs, width, percent).drop("dk")
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(hashed(docs, width).withColumn("rid", F.monotonically_increasing_id()), "hashed")
     some = rows.filter("n_shingles > 0")
-    sets = scratch.table(some.groupBy("set_id").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.min("s1").alias("s1"), F.min("s2").alias("s2")), "sets")
-    members = some.select("rid", "bands").join(sets, "rid").select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "s1", "s2")
-    texts = docs.select("doc_id", "text")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        need = scratch.table(need.join(sets.select("set_id", "doc_id"), "set_id").filter("doc_id is not null"), "need")
-        ids = need.select("doc_id").distinct()
-        held = maybe_in(texts, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_semi")
-        held = full_sets(held, width).join(need.select("set_id"), "set_id", "left_semi")
-        held = scratch.table(held, "full-sets")
-        once = held.withColumn("n", F.row_number().over(Window.partitionBy("set_id").orderBy(F.lit(1)))).filter("n = 1").drop("n")
-        out = join_salted(pairs, once.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a", "b")
-        out = join_salted(out, once.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b", "a")
-        return alike(out, percent)
-
-    linked = linked_components(members, verify, SKETCH_APART, scratch)
-    sizes = some.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    labelled = sets.join(linked, F.col("set_id") == F.col("id"), "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
-    labelled = scratch.table(labelled.join(sizes, "set_id"), "labelled")
+    least = ("doc_id", "n_shingles", "s1", "s2")
+    sets = some.groupBy("set_id").agg(F.min(F.struct("rid", "dk")).alias("r"), *(F.min(c).alias(c) for c in least), F.count(F.lit(1)).alias("n"))
+    sets = scratch.table(sets.select("set_id", "r.rid", "r.dk", *least, "n"), "sets")
+    one = some.select("rid", "bands").join(sets.select("rid", "set_id", "s1", "s2"), "rid")
+    members = scratch.table(one.drop("rid"), "bands").select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "s1", "s2")
+    linked = link_families(docs, families(members, SKETCH_APART, scratch), sets, width, percent, scratch)
+    labelled = sets.join(linked, F.col("set_id") == F.col("id"), "left").select("set_id", "doc_id", "n", F.coalesce("component", "set_id").alias("component"))
+    labelled = scratch.table(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
     labelled = join_unique(labelled, scratch.table(least, "least"), "component", "c", "inner")
     labelled = scratch.table(labelled.select("set_id", "component_id", "n"), "component-ids")
-    out = join_unique(some.select("doc_id", "n_shingles", "set_id"), labelled, "set_id", "n", "inner").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = join_unique(some.select("doc_id", "dk", "n_shingles", "set_id"), labelled, "set_id", "n", "inner").select("doc_id", "dk", "n_shingles", "component_id")
+    out = out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "dk", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with one document of each near-duplicate group: the one with the smallest doc_id.
+
+    Rows without words stay; of rows that repeat the kept doc_id one stays; rows with a null
+    doc_id that are linked with nothing stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch.table(_near_duplicates(docs, width, percent), "judged")
+    gone = judged.filter("n_shingles > 0 and not kept and component_id is not null").select("dk").distinct()
+    again = judged.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = scratch.table(gone, "gone")
+    columns = docs.columns
+    keyed = docs.withColumn("_dk", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    maybe, surely = split_by(keyed, "_dk", gone, "dk")
+    out = maybe.join(gone.withColumnRenamed("dk", "_dk"), "_dk", "left_anti").unionByName(surely.select(*maybe.columns))
+    if not again.isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("_dk"))
+        twice = out.join(again.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
+        out = out.join(again.select(F.col("component_id").alias("doc_id")), "doc_id", "left_anti").select(*columns).unionByName(twice.select(*columns))
+    return out.select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_ROWS = 200
 HOT_KEYS = 256
 
+#: After a table that took so many seconds, the driver is asked to let go of shuffle files.
+RECLAIM_S = 1.0
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
@@ -39,7 +44,12 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
+        began = time.monotonic()
         df.write.mode("overwrite").parquet(path)
+        if time.monotonic() - began > RECLAIM_S:
+            # Shuffle files of earlier tables go when the driver collects the plans that made them.
+            gc.collect()
+            self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path, out
         return out
@@ -99,10 +109,21 @@ def _slot(key):
 def maybe_in(big: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """``big`` without most of the rows whose key is not among ``ids``; none of the others is lost.
 
-    A bitmap of at most BITMAP_ROWS rows is broadcast; a join on the key has to follow.
+    A bitmap of at most BITMAP_ROWS rows is broadcast; an inner join on the key has to follow (the
+    optimizer would move a semi join ahead of the bitmap).
     """
     slot, bit = _slot(F.col(id_col))
     bits = ids.groupBy(slot).agg(F.bit_or(bit).alias("_bits"))
     slot, bit = _slot(F.col(key))
     out = big.withColumn("_slot", slot).join(F.broadcast(bits), "_slot", "inner")
     return out.filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
+
+
+def split_by(big: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``big`` as the rows that ``maybe_in`` keeps and the rest, whose keys are surely not among ``ids``."""
+    slot, bit = _slot(F.col(id_col))
+    bits = ids.groupBy(slot).agg(F.bit_or(bit).alias("_bits"))
+    slot, bit = _slot(F.col(key))
+    out = big.withColumn("_slot", slot).join(F.broadcast(bits), "_slot", "left")
+    held = F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) != 0
+    return out.filter(held).drop("_slot", "_bits"), out.filter(~held).drop("_slot", "_bits")

@@ -107,7 +107,7 @@ def brute_lines(spark, rows):
     hashes = {r.w: r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     forms = sorted({x[3] for x in at})
     sims = [simhash(f.split(" "), hashes) for f in forms]
-    links = [(i, j) for i in range(len(forms)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= lines.APART and levenshtein(forms[i], forms[j]) <= 0.2 * max(len(forms[i]), len(forms[j])) + 1e-9]
+    links = [(i, j) for i in range(len(forms)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= lines.APART and levenshtein(forms[i].split(" "), forms[j].split(" ")) <= 0.2 * max(len(forms[i].split(" ")), len(forms[j].split(" "))) + 1e-9]
     comp = find(links, range(len(forms)))
     group = {f: comp[i] for i, f in enumerate(forms)}
     first = {}
@@ -144,3 +144,32 @@ def test_lines_equal_brute_force(spark, docs):
 def test_lines_run_no_python(spark, docs):
     plan = lines.dedup_lines(docs((1, "a line that is here"), (2, "a line that is here")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_tiles_of_a_large_family(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    rows, text = [], [f"v{i}" for i in range(60)]
+    for i in range(300):
+        w = list(text)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(60)] = f"c{rng.randrange(50)}"
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            text[rng.randrange(60)] = f"d{i}"
+    want = brute(rows)
+    for tile in (512, 40, 8):
+        monkeypatch.setattr(minhash, "TILE_SETS", tile)
+        assert sorted(map(tuple, minhash.near_duplicates(docs(*rows)).collect()), key=str) == want
+
+
+def test_one_document_of_each_group_stays(spark, docs):
+    rows = [(5, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h"), (9, None), (10, ""), (None, "q r s t u v"), (11, "one"), (12, "one"), (13, "other words here")]
+    out = minhash.without_near_duplicates(docs(*rows))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, "a b c d e f g h"), (9, None), (10, ""), (None, "q r s t u v"), (11, "one"), (13, "other words here")], key=str)
+
+
+def test_lines_stage(spark, docs):
+    rows = [(1, "first line of the text\nsecond line of the text"), (2, "first line of the text"), (3, ""), (4, None), (5, "  First   line of THE text\n\n"), (6, "first line of the text\nanother line stays")]
+    out = lines.without_repeats(docs(*rows))
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str) == sorted([(1, rows[0][1], 46), (3, "", 0), (4, None, None), (6, "another line stays", 18)], key=str)
