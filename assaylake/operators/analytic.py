@@ -71,7 +71,7 @@ def measured_conditions(measurements: Column) -> Column:
     """A list of measurements as a map: property to value, ``_raw`` and ``_unit``; later ones win."""
     value = lambda m: F.coalesce(_number(m["normalized_value"]).cast("string"), _as_text(m["value"]), m["raw_value"])
     unit = lambda m: F.coalesce(m["normalized_unit"], m["unit"])
-    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    entry = lambda k, v: F.named_struct(F.lit("key"), k, F.lit("value"), v)
     entries = F.flatten(F.transform(F.coalesce(measurements, F.array().cast(measurements_type())), lambda m: F.array(
         entry(m["property"], value(m)), entry(F.concat(m["property"], F.lit("_raw")), m["raw_value"]), entry(F.concat(m["property"], F.lit("_unit")), unit(m)),
     )))
@@ -102,7 +102,7 @@ def point_conditions(conditions: Column) -> Column:
     get = lambda v, k, t="string": F.try_variant_get(v, f"$.{k}", t)
     nested = lambda v: F.schema_of_variant(v).startswith("OBJECT")
     value = lambda v: F.when(nested(v), F.coalesce(get(v, "normalized_value"), get(v, "value"), get(v, "raw_value"))).otherwise(_as_text(v))
-    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    entry = lambda k, v: F.named_struct(F.lit("key"), k, F.lit("value"), v)
     entries = F.flatten(F.transform(F.map_entries(held), lambda e: F.array(
         entry(e["key"], value(e["value"])), entry(F.concat(e["key"], F.lit("_raw")), F.when(nested(e["value"]), get(e["value"], "raw_value"))),
         entry(F.concat(e["key"], F.lit("_unit")), F.when(nested(e["value"]), F.coalesce(get(e["value"], "normalized_unit"), get(e["value"], "unit")))),
@@ -138,7 +138,7 @@ def device_context(archives: DataFrame) -> DataFrame:
     held = archives.select(F.col("metadata.archive_id").alias("archive_id"), "processes", "devices")
     d = held.select("archive_id", F.explode("devices").alias("d"))
     config = F.coalesce(F.col("d.configuration").cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    named = F.transform(F.map_entries(F.map_filter(config, lambda k, v: k != "layer_stack")), lambda e: F.struct(F.concat(F.lit("device_"), e["key"]).alias("key"), _as_text(e["value"]).alias("value")))
+    named = F.transform(F.map_entries(F.map_filter(config, lambda k, v: k != "layer_stack")), lambda e: F.named_struct(F.lit("key"), F.concat(F.lit("device_"), e["key"]), F.lit("value"), _as_text(e["value"])))
     fixed = F.array(F.struct(F.lit("device_type").alias("key"), F.col("d.device_type").alias("value")), F.struct(F.lit("device_name").alias("key"), F.col("d.name").alias("value")), F.struct(F.lit("device_layer_stack").alias("key"), F.try_variant_get("d.configuration", "$.layer_stack", "variant").cast("string").alias("value")))
     base = d.select("archive_id", F.col("d.device_id").alias("device_id"), F.filter(F.concat(fixed, named), lambda e: e["value"].isNotNull()).alias("entries"))
     steps = held.select("archive_id", F.explode("processes").alias("p")).select("archive_id", "p.outputs", measured_conditions(F.col("p.parameters")).alias("c"))
