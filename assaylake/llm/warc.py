@@ -8,6 +8,7 @@ covers the files and a lost executor leaves no half archive), and are read back
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 from collections.abc import Iterator
@@ -72,12 +73,12 @@ def records(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, file
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
-    """One record for each row; the folder's files are plain WARC 1.1.
+    """One record for each row; the folder's files are WARC 1.1 in gzip.
 
     A null payload is empty; a null id is written as ``null`` and ranks below all others. Of rows
     alike in id and payload one is the response, the others revisit it. Extra columns are not read.
     """
-    records(pages, Scratch(pages.sparkSession), min_bytes, file_bytes).write.mode("overwrite").option("lineSep", _END).text(path)
+    records(pages, Scratch(pages.sparkSession), min_bytes, file_bytes).write.mode("overwrite").option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
@@ -111,7 +112,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 out = []
-                for warc, http, payload in parse(data.as_py()):
+                for warc, http, payload in parse(gzip.decompress(data.as_py())):
                     digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
                     if warc["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {warc['WARC-Record-ID']} does not match its digest")

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import duckdb
@@ -31,7 +32,7 @@ def test_revisits(spark, tmp_path):
     warc.write_archives(df, f"file://{tmp_path}/w", file_bytes=20_000)
     got = sorted(map(tuple, warc.read_archives(spark, f"file://{tmp_path}/w").collect()), key=str)
     assert got == brute(rows)
-    stored = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    stored = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     found = list(warc.parse(stored))
     assert len(found) == len(rows) and stored.count(b"y" * 2000) == 1
     assert len({w["WARC-Record-ID"] for w, _, _ in found}) == len(rows)
