@@ -67,7 +67,7 @@ def reported_numbers(c: Column) -> Column:
     plain = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![\w.]){NUMBER}"), 0), lambda x: x.try_cast("double"))
     product = rf"(?<![\w.])([-+]?(?:\d+(?:\.\d*)?|\.\d+))\s*[×x*]\s*10\s*\^?\s*\{{?\s*([-+]?\d+)\s*\}}?"
     base, power = F.regexp_extract_all(text, F.lit(product), 1), F.regexp_extract_all(text, F.lit(product), 2)
-    scaled = F.transform(F.arrays_zip(base.alias("b"), power.alias("p")), lambda z: z["b"].try_cast("double") * F.pow(F.lit(10.0), z["p"].try_cast("double")))
+    scaled = F.transform(F.arrays_zip(base.alias("b"), power.alias("p")), lambda z: F.concat(z["b"], F.lit("e"), z["p"]).try_cast("double"))
     return F.concat(plain, scaled)
 
 
@@ -124,21 +124,40 @@ def battery_units(value: Column, unit: Column) -> tuple[Column, Column]:
     return to, name
 
 
-#: Patterns of corrosion units, in order, and their categories. They are never converted.
+#: Patterns of a corrosion unit without blanks, in order, and their categories. They are never converted.
 CORROSION_CATEGORIES = (
-    (r"(?i)mm\s*/\s*(?:y|yr|year|a)\b|mpy|mm\s*y", "penetration_rate"), (r"(?i)(?:m?g|mg)\s*/?\s*(?:cm|m|dm)\^?-?2.*(?:/|-1|\^-1)\s*(?:h|d|day|y|s)|mdd", "mass_loss_rate"),
-    (r"(?i)(?:m|µ|u|k)?g\s*(?:/|·|\s)?\s*(?:cm|m|dm)\^?-?2", "mass_change_per_area"), (r"(?i)(?:µ|u|m|n)?a\s*/?\s*(?:cm|m)\^?-?2", "current_density"),
-    (r"(?i)(?:k|m)?(?:ohm|Ω)\s*\*?\s*·?\s*(?:cm|m)\^?2", "area_resistance"), (r"(?i)(?:k|m)?v\b", "potential"), (r"%", "percent"), (r"(?i)\bh\b|hours?|days?|min\b|s\b", "time"),
+    (r"%|percent", "percent"), (r"mg|g|kg|ug", "mass"), (r"cm2|m2|mm2", "area"), (r"h|day|s|min|year|y", "time"),
+    (r"(?:g|mg|kg|ug)/(?:cm2|m2|mm2)|(?:g|mg|kg|ug)(?:cm|m|mm)-2", "mass_per_area"),
+    (r"(?:g|mg|kg|ug)/(?:cm2|m2|mm2)/(?:h|day|s|min|year|y)|(?:g|mg|kg|ug)(?:cm|m|mm)-2(?:h|day|s|min|year|y)-1", "mass_loss_rate"),
+    (r"mpy|(?:mm|um|cm|mil)/(?:year|y)", "penetration_rate"), (r"mm|um|cm|m|mil", "length"), (r"(?:g|mg|kg)/(?:cm3|m3|mm3)", "density"),
 )
+#: The categories that a property's unit may have; others are not checked.
+CORROSION_ALLOWED = {
+    "initial_mass": ("mass",), "final_mass": ("mass",), "mass_loss": ("mass", "mass_per_area"), "corrosion_rate": ("mass_loss_rate", "penetration_rate"), "penetration_rate": ("penetration_rate",),
+    "penetration_depth": ("length",), "inhibition_efficiency": ("percent",), "protection_efficiency": ("percent",),
+}
 
 
 def corrosion_category(unit: Column) -> Column:
-    out = F.when(unit.isNull() | (F.trim(unit) == ""), "none")
+    """What a unit measures; texts that are no such unit are ``unknown``."""
+    token = F.translate(F.lower(F.coalesce(unit, F.lit(""))), "µμ²³·−", "uu23 -")
+    token = F.regexp_replace(F.regexp_replace(token, r"\bper\b", "/"), r"years|yrs\b|yr\b", "year")
+    token = F.regexp_replace(F.regexp_replace(token, "days", "day"), "hours|hour", "h")
+    token = F.translate(F.regexp_replace(token, r"(?U)\s+", ""), "^", "")
+    out = F.when(token == "", "unknown")
     for pattern, category in CORROSION_CATEGORIES:
-        out = out.when(unit.rlike(pattern), category)
+        out = out.when(token.rlike(f"^(?:{pattern})$"), category)
     return out.otherwise("unknown")
 
 
+def corrosion_unit_fits(prop: Column, unit: Column) -> Column:
+    """Whether a property may have the unit; what is not known to be wrong may."""
+    category, out = corrosion_category(unit), F.lit(True)
+    for name, allowed in CORROSION_ALLOWED.items():
+        out = F.when(prop == name, category.isin(*allowed)).otherwise(out)
+    return (category == "unknown") | out
+
+
 def pixel_to_data(pixel: Column, p0: Column, p1: Column, v0: Column, v1: Column, log: bool = False) -> Column:
     """A pixel coordinate on a calibrated axis, linear or log10."""
     share = (pixel - p0) / (p1 - p0)

@@ -272,6 +272,83 @@ def biomaterial_device() -> Column:
     ])
 
 
+#: Properties with rules of their own in the catalysis and corrosion contracts.
+PRODUCT_SPECIFIC = ("faradaic_efficiency", "product_selectivity", "partial_current_density", "product_formation_rate", "selectivity", "yield")
+PERCENT_PROPERTIES = (
+    "faradaic_efficiency", "product_selectivity", "selectivity", "yield", "conversion", "carbon_balance", "retention", "degradation_efficiency", "removal_efficiency", "cod_removal", "color_removal", "turbidity_removal",
+)
+NORMALIZATION_REQUIRED = ("current_density", "partial_current_density", "mass_activity", "specific_activity", "turnover_frequency", "reaction_rate", "activity", "productivity", "product_formation_rate")
+REFERENCE_REQUIRED = ("onset_potential", "half_wave_potential")
+CORROSION_POTENTIALS = ("corrosion_potential", "pitting_potential", "repassivation_potential", "breakdown_potential")
+CORROSION_EIS = (
+    "charge_transfer_resistance", "solution_resistance", "coating_resistance", "pore_resistance", "protective_layer_resistance", "film_resistance", "oxide_resistance", "cpe_parameter", "cpe_exponent",
+    "double_layer_capacitance", "coating_capacitance", "warburg_parameter",
+)
+
+
+def catalysis(origins: tuple[str, ...] = ("native_text", "table_reported", "ocr_extracted", "text", "table")) -> Column:
+    """Over property, raw_value, value, unit, evidence, ownership, scope_status, product, reactant,
+    normalization_kind, potential_reference, derived, unresolved_conflict and semantic_invalid."""
+    empty = lambda x: F.length(F.coalesce(c(x), F.lit(""))) == 0
+    basis = F.coalesce(c("normalization_kind"), F.lit("unknown"))
+    origin = lambda e: F.coalesce(e["original_source_type"], e["source_type"])
+    number = F.exists("evidence", lambda e: F.coalesce(e["verbatim_match"], F.lit(False)) & N.supports_value(e["text_snippet"], c("value"), 1e-9))
+    return O.ladder([
+        (c("scope_status") != "supported", "unsupported_v1_subtype"), (c("ownership") != "focal_work", F.concat(F.lit("ownership_"), c("ownership"))), (c("derived"), "derived_value_not_reported"), (c("unresolved_conflict"), "condition_conflict"),
+        (c("semantic_invalid"), "schema_invalid"), (c("property").isin(*PERCENT_PROPERTIES) & (c("unit") == "%") & (c("value") > 100 + 1e-6), "schema_invalid"), (c("property").isin(*PRODUCT_SPECIFIC) & empty("product"), "missing_product"),
+        ((c("property") == "conversion") & empty("reactant"), "schema_invalid"), (c("property").isin(*NORMALIZATION_REQUIRED) & (basis == "unknown"), "normalization_basis_unknown"),
+        ((c("property") == "turnover_frequency") & (basis != "site_count"), "incompatible_unit_basis"), ((c("potential_reference") == "unknown") | (c("property").isin(*REFERENCE_REQUIRED) & c("potential_reference").isNull()), "missing_potential_reference"),
+        (F.exists("evidence", lambda e: origin(e) == "figure_digitized"), "estimated_digitized"), (F.exists("evidence", lambda e: ~F.coalesce(origin(e).isin(*origins), F.lit(False))), "unsupported_visual_origin"),
+        (~(value_supported(c("evidence"), c("raw_value")) | F.coalesce(number, F.lit(False))), "no_value_specific_evidence"),
+    ])
+
+
+def corrosion() -> Column:
+    """Over property, raw_value, value, unit, evidence, ownership, data_kind, scope_status, experiment_type,
+    reference_electrode, equivalent_circuit, treatment_present, unresolved_conflict and condition_properties."""
+    empty = lambda x: F.length(F.trim(F.coalesce(c(x), F.lit("")))) == 0
+    eis, weighed = c("experiment_type") == "eis", c("experiment_type") == "weight_loss"
+    verified = F.exists("evidence", lambda e: F.coalesce(e["verbatim_match"], F.lit(False)) & (F.length(F.coalesce(e["text_snippet"], F.lit(""))) > 0) & ~F.coalesce(e["original_source_type"].isin("figure_reported", "unknown"), F.lit(False)))
+    efficiency = c("property").isin("inhibition_efficiency", "protection_efficiency")
+    mass, rate = c("property").isin("initial_mass", "final_mass", "mass_loss"), c("property").isin("corrosion_rate", "penetration_rate", "inhibition_efficiency", "protection_efficiency")
+    has = lambda *names: F.arrays_overlap(F.coalesce("condition_properties", F.array().cast("array<string>")), F.array(*map(F.lit, names)))
+    kind = F.coalesce(c("data_kind"), F.lit(""))
+    return O.ladder([
+        (c("scope_status") != "supported", "unsupported_scope"), (c("ownership") != "focal_work", F.concat(F.lit("ownership_"), c("ownership"))), (c("value").isNull(), "non_numeric_or_unparsed_value"), (empty("raw_value"), "missing_raw_value"),
+        (c("unresolved_conflict"), "unresolved_condition_conflict"), (~verified, "no_verified_value_specific_evidence"), (c("property").isin(*CORROSION_POTENTIALS) & empty("reference_electrode"), "missing_reference_electrode"),
+        (c("property").isin(*CORROSION_EIS) & ~eis, "eis_metric_outside_eis_experiment"), ((c("property") == "polarization_resistance") & eis, "polarization_resistance_misclassified_as_eis"),
+        ((kind == "fitted_parameter") & empty("equivalent_circuit"), "missing_equivalent_circuit_context"), (~N.corrosion_unit_fits(c("property"), c("unit")), "incompatible_gravimetric_unit_category"),
+        (efficiency & ~c("treatment_present"), "missing_linked_treatment"), (weighed & mass & (kind != "reported_measurement"), "invalid_gravimetric_data_kind"), (weighed & rate & (kind != "derived_metric"), "invalid_gravimetric_data_kind"),
+        (weighed & rate & ~has("exposure_time"), "missing_exposure_time"), (weighed & rate & ~has("medium", "electrolyte"), "missing_environment_context"),
+    ])
+
+
+def digitization_reasons() -> Column:
+    """Every reason to refuse a plot; unlike admission reasons they accumulate."""
+    colours = F.col("series_colors")
+    known = F.filter(colours, lambda x: x.isNotNull())
+    grey = F.exists(known, lambda x: F.array_max(x) - F.array_min(x) < 25)
+    ready = F.forall("calibration_states", lambda s: s.isin("verified", "user_confirmed"))
+    tests = [
+        (c("geometry").isin("polar", "ternary", "3d", "bar", "contour", "microscopy", "diffraction_pattern"), F.concat(F.lit("unsupported_geometry:"), c("geometry"))), ((c("width") < 80) | (c("height") < 80), F.lit("plot_resolution_too_low")),
+        (F.exists("calibration_states", lambda s: s.isin("ambiguous", "failed")), F.lit("calibration_ambiguous_or_failed")), (~ready & ~c("diagnostic"), F.lit("calibration_not_user_confirmed")), (F.size(colours) == 0, F.lit("no_explicit_color_series_selected")),
+        (F.exists(colours, lambda x: x.isNull()), F.lit("series_color_selection_required")), (F.size(F.array_distinct(known)) != F.size(known), F.lit("series_colors_not_separable")), ((F.size(colours) > 1) & grey, F.lit("ambiguous_grayscale_multi_series")),
+        ((F.size(colours) == 1) & grey & ~c("grayscale_selected"), F.lit("grayscale_series_requires_user_selected_target")), (F.greatest("pixel_x", "pixel_y") > 8, F.lit("line_or_calibration_uncertainty_too_high")),
+    ]
+    return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), r) for t, r in tests)))
+
+
+def failure_class() -> Column:
+    """The class of a failure by its error's name and message, in order."""
+    name, text = F.lower("error_name"), F.lower("message")
+    has = lambda x, *words: O.any_of(*(F.contains(x, F.lit(w)) for w in words))
+    return O.ladder([
+        (has(name, "timeout"), "timeout"), (has(text, "429") | (has(name, "rate") & has(name, "limit")), "provider_rate_limited"), (has(name, "auth") | has(text, "401", "403"), "provider_authentication"),
+        (has(name, "invalidrequest") | has(text, "400"), "provider_invalid_request"), (has(name, "unavailable") | has(text, "503"), "provider_transient_unavailable"), (has(name, "schema", "validation"), "schema_invalid"),
+        (has(name, "admission", "scientific"), "scientific_admission_failure"), (has(name, "archive"), "archive_failure"), (has(name, "oserror", "ioerror", "filenotfound", "permission"), "storage_failure"),
+    ], "unknown_internal_failure")
+
+
 def battery_gate() -> Column:
     return O.ladder([(c("derived"), "derived_value_not_reported"), (c("ownership") != "focal_work", F.concat(F.lit("ownership_"), c("ownership"))), (~F.exists("evidence", lambda e: F.coalesce(e["verbatim_match"], F.lit(False))), "no_verbatim_evidence")])
 
