@@ -91,22 +91,21 @@ def unit_key(c: Column, dialect: str = "mechanical") -> Column:
     return F.translate(F.lower(text), "²³μµ·−", "23uu*-")
 
 
-#: Factors to base units of legacy sensor quantities, by kind.
+#: Factors to base units of sensor quantities. Temperatures are taken as they are.
 SENSOR_UNITS = {
-    "s": (1.0, "s"), "sec": (1.0, "s"), "second": (1.0, "s"), "seconds": (1.0, "s"), "ms": (1e-3, "s"), "min": (60.0, "s"), "minute": (60.0, "s"), "minutes": (60.0, "s"), "h": (3600.0, "s"), "hr": (3600.0, "s"),
-    "ppm": (1.0, "ppm"), "ppb": (1e-3, "ppm"), "ppt": (1e-6, "ppm"), "%": (1e4, "ppm"),
+    "ms": (0.001, "s"), "millisecond": (0.001, "s"), "milliseconds": (0.001, "s"), "s": (1.0, "s"), "sec": (1.0, "s"), "secs": (1.0, "s"), "second": (1.0, "s"), "seconds": (1.0, "s"), "min": (60.0, "s"), "minute": (60.0, "s"), "minutes": (60.0, "s"),
+    "ppm": (1.0, "ppm"), "ppb": (0.001, "ppm"), "ppt": (0.000001, "ppm"), "°c": (1.0, "°C"), "c": (1.0, "°C"), "degc": (1.0, "°C"),
 }
 
 
+def _of(table: dict, i: int, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v[i]))), key)
+
+
 def sensor_units(value: Column, unit: Column) -> tuple[Column, Column]:
     """Value and unit of times in seconds, concentrations in ppm and temperatures in °C; others null."""
     key = F.lower(F.trim(unit))
-    to = F.when(key.isin("k", "kelvin"), value - 273.15).when(key.isin("°c", "c", "celsius"), value)
-    name = F.when(key.isin("k", "kelvin", "°c", "c", "celsius"), "°C")
-    for k, (factor, base) in SENSOR_UNITS.items():
-        to = to.when(key == k, value / round(1 / factor) if factor < 1 else value * factor)
-        name = name.when(key == k, base)
-    return to, name
+    return value * _of(SENSOR_UNITS, 0, key), _of(SENSOR_UNITS, 1, key)
 
 
 #: Factors of battery units, by lower-case name. Case is folded, so mHz and MHz are not told apart.
@@ -118,10 +117,8 @@ BATTERY_UNITS = {
 
 def battery_units(value: Column, unit: Column) -> tuple[Column, Column]:
     key = F.lower(F.regexp_replace(F.trim(unit), r"\s+", ""))
-    to, name = F.when(key.isin("k",), value - 273.15), F.when(key.isin("k",), "°C")
-    for k, (factor, base) in BATTERY_UNITS.items():
-        to, name = to.when(key == k, value * factor), name.when(key == k, base)
-    return to, name
+    kelvin = key == "k"
+    return F.when(kelvin, value - 273.15).otherwise(value * _of(BATTERY_UNITS, 0, key)), F.when(kelvin, "°C").otherwise(_of(BATTERY_UNITS, 1, key))
 
 
 #: Patterns of a corrosion unit without blanks, in order, and their categories. They are never converted.

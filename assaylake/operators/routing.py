@@ -43,8 +43,8 @@ def _occurs(text: Column, terms: tuple[str, ...]) -> Column:
 def _signals(sentences: Column, terms: tuple[str, ...], cues: tuple[str, ...], but: tuple[str, ...] = ()) -> Column:
     """Terms in sentences with a cue of one kind and none of the other."""
     cued = lambda s: O.any_of(*(F.contains(s, F.lit(q)) for q in cues)) & ~O.any_of(*(F.contains(s, F.lit(q)) for q in but))
-    held = F.filter(sentences, cued)
-    return F.array_compact(F.array(*(F.when(F.exists(held, lambda s, t=t: X.term_count(s, t) > 0), F.lit(t)) for t in terms)))
+    held = F.array_join(F.filter(sentences, cued), "\n")
+    return F.array_compact(F.array(*(F.when(X.term_count(held, t) > 0, F.lit(t)) for t in terms)))
 
 
 def score_domains(docs: DataFrame, domains: list[Domain], id_col: str = "doc_id") -> DataFrame:

@@ -33,13 +33,15 @@ def _normal(q: Column) -> Column:
 def normalize(records: DataFrame) -> DataFrame:
     """Times in seconds, concentrations in ppm; the reported values stay."""
 
+    def both(x: Column) -> Column:
+        return x.withField("concentration", _normal(x["concentration"])).withField("operating_temperature", _normal(x["operating_temperature"]))
+
     def one(s: Column) -> Column:
-        t = s["testing"]
-        s = s.withField("testing", F.when(t.isNotNull(), t.withField("concentration", _normal(t["concentration"])).withField("operating_temperature", _normal(t["operating_temperature"]))))
-        p = s["performance"]
-        timed = lambda x: F.when(x.isNotNull(), x.withField("value", _normal(x["value"])).withField("concentration", _normal(x["concentration"])).withField("operating_temperature", _normal(x["operating_temperature"])))
-        p = F.when(p.isNotNull(), p.withField("limit_of_detection", _normal(p["limit_of_detection"])).withField("response_time", timed(p["response_time"])).withField("recovery_time", timed(p["recovery_time"])))
-        return s.withField("performance", p)
+        # Each field is built from the sample as it came, so that expressions do not nest in one another.
+        t, p = s["testing"], s["performance"]
+        timed = lambda x: F.when(x.isNotNull(), both(x).withField("value", _normal(x["value"])))
+        done = p.withField("limit_of_detection", _normal(p["limit_of_detection"])).withField("response_time", timed(p["response_time"])).withField("recovery_time", timed(p["recovery_time"]))
+        return s.withField("testing", F.when(t.isNotNull(), both(t))).withField("performance", F.when(p.isNotNull(), done))
 
     return records.withColumn("samples", F.transform("samples", one))
 

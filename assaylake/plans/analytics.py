@@ -102,7 +102,7 @@ def number_unit_parse(t: Tables):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size / 1000.0 ELSE p_size * 60.0 END AS normalized, CASE WHEN p_size % 2 = 0 THEN 's' ELSE 's' END AS unit FROM part""")
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) * CAST(0.001 AS DOUBLE) ELSE CAST(p_size AS DOUBLE) * CAST(60 AS DOUBLE) END AS normalized, 's' AS unit FROM part""")
 def unit_conversion(t: Tables):
     """Time quantities in seconds."""
     unit = F.when(F.col("p_size") % 2 == 0, "ms").otherwise("min")
