@@ -18,32 +18,44 @@ from pyspark.sql import functions as F
 from .shared import Scratch, join_unique, maybe_in
 
 
+#: Stars go on while the pairs across components are more than so many times the unresolved rows.
+MANY = 8
+#: So many stars without a link end them.
+IDLE_TURNS = 2
+
+
 def _hamming(a: str, b: str):
     return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Each left end has one edge, to a node that is no left end itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("left"), F.lit(0).alias("right")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("left"), F.lit(1).alias("right")))
+    ends = ends.groupBy("x").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
+    return ends.filter("left > 1 or (left = 1 and right = 1)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``edges`` (u, v): the smallest id reachable.
 
-    Alternating large-star and small-star contraction: the edge set shrinks to stars in a
-    logarithmic number of rounds. Hubs are handled by ``join_unique``.
+    Alternating large-star and small-star contraction: the edge set shrinks to stars around the
+    smallest ids in a logarithmic number of rounds. Hubs are handled by ``join_unique``.
     """
-    spark = scratch.spark
     now = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    rows = 2 * now.count()
     for _ in range(max_rounds):
+        if _are_stars(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "large")
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
         star = join_unique(both, least, "u", "n", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(star.filter("u <> v").distinct(), "large-star")
-        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small")
+        large = scratch.table(star.filter("u <> v").distinct(), "large-star", rows)
+        scratch.drop(now, least)
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
         joined = join_unique(large, least, "u", "n", "inner")
         star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        then = scratch.table(star.filter("u <> v").distinct(), "small-star")
-        same = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()
-        done = same(now) == same(then)
-        now = then
-        if done:
-            break
+        now = scratch.table(star.filter("u <> v").distinct(), "small-star", rows)
+        scratch.drop(large, least)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
@@ -51,6 +63,10 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     )
 
 
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def shared_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, id, s1, s2, n): the rows of ``members`` (key, id, s1, s2) whose bucket holds n > 1 of them.
 
@@ -58,69 +74,93 @@ def shared_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     being shuffled with their items.
     """
     shared = scratch.table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-keys")
-    return scratch.table(join_unique(maybe_in(members, "key", shared, "key"), shared, "key", "n", "inner"), "shared")
+    out = scratch.table(join_unique(maybe_in(members, "key", shared, "key"), shared, "key", "n", "inner"), "shared")
+    scratch.drop(shared)
+    return out
 
 
 def star_pairs(shared: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
     """Distinct pairs (a, b), a > b, of each bucket's members with its smallest one, sketches near."""
     centre = shared.groupBy("key").agg(F.min(F.struct("id", "s1", "s2")).alias("c"), F.count(F.lit(1)).alias("n"))
-    pairs = join_unique(shared.drop("n"), scratch.table(centre, "centres"), "key", "n", "inner")
+    rows = shared.count()
+    centre = scratch.table(centre, "centres", rows)
+    pairs = join_unique(shared.drop("n"), centre, "key", "n", "inner")
     pairs = pairs.select(F.col("id").alias("a"), F.col("c.id").alias("b"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("c.s1").alias("y1"), F.col("c.s2").alias("y2"))
-    return scratch.table(pairs.filter(F.col("a") > F.col("b")).filter(_hamming("x", "y") <= max_hamming).select("a", "b").distinct(), "star")
+    pairs = scratch.table(pairs.filter(F.col("a") > F.col("b")).filter(_hamming("x", "y") <= max_hamming).select("a", "b").distinct(), "star", rows)
+    scratch.drop(centre)
+    return pairs
 
 
-def cross_pairs(shared: DataFrame, component: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket but different components, sketches near.
+def _unresolved(shared: DataFrame, component: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, s1, s2, component, main, others, n): rows of the buckets that lie in several components.
 
-    Of each bucket the members outside its largest component meet all others; a bucket in a single
-    component, or of two members, has nothing to add to its star.
+    ``main`` is a bucket's largest component, ``others`` the number of its n rows outside of it. A
+    bucket of two has nothing to add to its star.
     """
+    rows = shared.count()
     rest = shared.filter("n > 2").select("key", "id", "s1", "s2").join(component, "id", "left")
-    rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest")
+    rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest", rows)
     parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("n"))
-    parts = scratch.table(parts.filter("parts > 1").select("key", "n", F.col("main.component").alias("main")), "unresolved")
-    open_ = scratch.table(join_unique(maybe_in(rest, "key", parts, "key"), parts, "key", "n", "inner"), "open")
+    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n"))
+    parts = scratch.table(parts.filter("n > m.c").select("key", "n", (F.col("n") - F.col("m.c")).alias("others"), F.col("m.component").alias("main")), "unresolved", rows)
+    out = scratch.table(join_unique(maybe_in(rest, "key", parts, "key"), parts, "key", "n", "inner"), "open", rows)
+    scratch.drop(rest, parts)
+    return out
+
+
+def _more_stars(open_: DataFrame, turn: int, max_hamming: int) -> DataFrame:
+    """Pairs of each unresolved bucket's members with one from outside its largest component."""
+    order = F.xxhash64("id", F.lit(turn))
+    centre = open_.filter("component <> main").groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "s1", "s2")).alias("c"), F.max("n").alias("n"))
+    pairs = join_unique(open_.drop("n", "main"), centre, "key", "n", "inner").filter(F.col("component") != F.col("c.component"))
+    pairs = pairs.select("id", F.col("c.id").alias("other"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("c.s1").alias("y1"), F.col("c.s2").alias("y2"))
+    return pairs.filter(_hamming("x", "y") <= max_hamming).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+
+
+def _cross_pairs(open_: DataFrame, max_hamming: int) -> DataFrame:
+    """All distinct pairs of one bucket but different components, sketches near."""
     left = open_.filter("component <> main").select("key", "main", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
     right = open_.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
     near = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))) & (_hamming("x", "y") <= max_hamming)
     return left.join(right, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _edges(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def families(members: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
-    """(id, component): groups so wide that every two items of one bucket with near sketches are in one.
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], max_hamming: int, scratch: Scratch) -> DataFrame:
+    """(id, component) of every item that is linked with another one.
 
-    Nothing is verified here; the links are to be looked for within each family.
+    ``members`` has (key, id, s1, s2): an item's bucket and its sketch of up to 128 bits, the same
+    for all its rows; ``verify`` takes pairs (a, b) with a > b and returns the linked ones.
+    Where a bucket's star leaves many members outside its largest component, stars around some of
+    these follow, until few are left, or they bring nothing; then all pairs across components are
+    looked at.
     """
     shared = shared_buckets(members, scratch)
-    edges = _edges(star_pairs(shared, max_hamming, scratch))
+    seen = star_pairs(shared, max_hamming, scratch)
+    links = scratch.table(_edges(verify(seen)), "links")
+    found = components(links, scratch)
+    turn, idle = 0, 0
     while True:
-        found = scratch.table(components(edges, scratch), "families")
-        more = scratch.table(_edges(cross_pairs(shared, found, max_hamming, scratch)), "across")
-        if more.isEmpty():
+        open_ = _unresolved(shared, found, scratch)
+        work = open_.filter("component <> main").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
+        every = not work.rows or work.pairs <= MANY * open_.count() or idle == IDLE_TURNS
+        pairs = _cross_pairs(open_, max_hamming) if every else _more_stars(open_, turn, max_hamming)
+        pairs = scratch.table(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        more = scratch.table(_edges(verify(pairs)), "more") if not pairs.isEmpty() else None
+        some = more is not None and not more.isEmpty()
+        if some:
+            links = scratch.table(links.unionByName(more), "links")
+            found = components(links, scratch)
+        scratch.drop(open_)
+        if every:
+            scratch.drop(shared)
             return found
-        edges = edges.unionByName(more)
+        seen = scratch.table(seen.unionByName(pairs), "seen")
+        turn, idle = turn + 1, 0 if some else idle + 1
 
 
-def linked_components(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], max_hamming: int, scratch: Scratch
-) -> DataFrame:
-    """(id, component) of every item that is linked with another one.
+def families(members: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
+    """(id, component): groups so wide that every two items of one bucket with near sketches are in one.
 
-    ``members`` has (key, id, s1, s2): an item's bucket and its sketch of up to 128 bits, the same
-    for all its rows; ``verify`` takes pairs (a, b) with a > b and returns the linked ones.
+    Nothing is verified here; the links are to be looked for within each family.
     """
-    shared = shared_buckets(members, scratch)
-    star = star_pairs(shared, max_hamming, scratch)
-    links = scratch.table(_edges(verify(star)), "links")
-    first = scratch.table(components(links, scratch), "components")
-    pairs = cross_pairs(shared, first, max_hamming, scratch)
-    pairs = scratch.table(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = scratch.table(_edges(verify(pairs)), "more")
-    if more.isEmpty():
-        return first
-    return scratch.table(components(links.unionByName(more), scratch), "components")
+    return linked_components(members, lambda pairs: pairs, max_hamming, scratch)

@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from .linking import components, families
 from .shared import Scratch, join_unique, maybe_in, split_by
 
-#: 2 * PERMUTATIONS = BANDS * ROWS. A pair at similarity 0.8 misses all bands with probability 3e-6.
-PERMUTATIONS, BANDS, ROWS = 80, 32, 5
+#: 2 * PERMUTATIONS = BANDS * ROWS. A pair at similarity 0.8 misses all bands with probability 1.2e-5,
+#: one at 0.25, as texts that share a passage are, shares one with probability 3e-3.
+PERMUTATIONS, BANDS, ROWS = 168, 48, 7
 #: Of the 128 sketch bits a pair at similarity 0.8 has 13 apart on average; 36 is over six deviations away.
 SKETCH_APART = 36
 PERCENT = 80
@@ -198,7 +199,7 @@ def link_families(docs: DataFrame, found: DataFrame, sets: DataFrame, width: int
     first = F.when(F.col("chunk") > 0, F.array("chunk")).when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1))
     tiled = rows.select("dk", "set_id", F.transform(first, lambda j: _tile(F.col("family"), F.lit(0).cast("long"), j)).alias("tiles"))
     links = scratch.table(_links(docs, tiled, width, percent), "links")
-    done = scratch.table(components(links, scratch), "components")
+    done = components(links, scratch)
 
     large = rows.filter("chunks > 2")
     if large.isEmpty():
@@ -215,7 +216,7 @@ def link_families(docs: DataFrame, found: DataFrame, sets: DataFrame, width: int
     tiles = F.flatten(rows_of(upto(F.col("others")), F.array("chunk")))
     tiles = F.when(F.col("component") == F.col("main"), tiles).otherwise(F.array_union(tiles, F.flatten(rows_of(F.array(other), upto(F.col("chunks"))))))
     more = scratch.table(_links(docs, large.select("dk", "set_id", tiles.alias("tiles")), width, percent), "more")
-    return scratch.table(components(links.unionByName(more), scratch), "components")
+    return components(links.unionByName(more), scratch)
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:

@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_ROWS = 200
 HOT_KEYS = 256
 
+#: A task takes at least so many rows of a table whose size is known.
+TASK_ROWS = 100_000
+
 #: After a table that took so many seconds, the driver is asked to let go of shuffle files.
 RECLAIM_S = 1.0
 
@@ -42,8 +45,11 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df`` written and read again; no more than about ``rows`` rows, if given, need few tasks."""
         path = self.path(name)
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
         began = time.monotonic()
         df.write.mode("overwrite").parquet(path)
         if time.monotonic() - began > RECLAIM_S:
@@ -98,12 +104,14 @@ def join_salted(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: s
 
 
 #: Rows of 64 bits that a bitmap has at most, however many ids it holds.
-BITMAP_ROWS = 1 << 16
+BITMAP_ROWS = 1 << 18
 
 
 def _slot(key):
+    """A key's row of a bitmap, and the two bits that stand for it there."""
     h = F.xxhash64(key)
-    return F.pmod(h, F.lit(BITMAP_ROWS)).alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, at), F.lit(64)).cast("int"))
+    return F.pmod(h, F.lit(BITMAP_ROWS)).alias("_slot"), bit(40).bitwiseOR(bit(50))
 
 
 def maybe_in(big: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -116,7 +124,7 @@ def maybe_in(big: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame
     bits = ids.groupBy(slot).agg(F.bit_or(bit).alias("_bits"))
     slot, bit = _slot(F.col(key))
     out = big.withColumn("_slot", slot).join(F.broadcast(bits), "_slot", "inner")
-    return out.filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
+    return out.filter(F.col("_bits").bitwiseAND(bit) == bit).drop("_slot", "_bits")
 
 
 def split_by(big: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -125,5 +133,5 @@ def split_by(big: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[Dat
     bits = ids.groupBy(slot).agg(F.bit_or(bit).alias("_bits"))
     slot, bit = _slot(F.col(key))
     out = big.withColumn("_slot", slot).join(F.broadcast(bits), "_slot", "left")
-    held = F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) != 0
+    held = F.coalesce(F.col("_bits").bitwiseAND(bit) == bit, F.lit(False))
     return out.filter(held).drop("_slot", "_bits"), out.filter(~held).drop("_slot", "_bits")
