@@ -225,7 +225,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix draws them, a row for each copy, with ``mix_shard`` and in shuffled order within it."""
+    """``docs`` as the mix draws them, a row for each copy, with ``mix_shard``, shuffled within each task's part of it."""
     mix = Mix(docs)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0))
     held = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
@@ -235,8 +235,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = rows.filter("whole + part > 0").select("sk", "block", "part", "row").join(open_, ["sk", "block"])
     rows = rows.select(F.posexplode(shards).alias("copy", "mix_shard"), "row")
     order = F.xxhash64(F.lit(SEED + 2), "mix_shard", "row.doc_id", "copy")
-    rows = rows.repartition("mix_shard").sortWithinPartitions("mix_shard", order)
-    return rows.select("row.*", "mix_shard")
+    # Blocks are spread over the tasks by hash; each task shuffles its part of each shard, and a writer
+    # partitioned by mix_shard needs no further exchange of texts.
+    return rows.sortWithinPartitions("mix_shard", order).select("row.*", "mix_shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
