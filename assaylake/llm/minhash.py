@@ -36,6 +36,8 @@ _BAND_SEED = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 _BLOCK = 8192
 #: Sets, and shingles, of a chunk of a family; a tile holds two chunks. Columns of a product.
 TILE_SETS, TILE_SHINGLES, _COLUMNS = 512, 600_000, 4096
+#: Texts whose signatures are held at a time.
+_ROWS = 1024
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -94,7 +96,8 @@ def hashed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, dk, n_shingles, set_id, bands and sketch of every row; empty sets have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # Small parts: a signature is larger than many a text.
+        for b in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             sizes, ids, sigs = [], [], []
             for text in b.column(2).cast(pa.large_binary()).to_pylist():
                 s = shingle_set(text or b"", width)
