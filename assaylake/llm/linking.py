@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch, join_unique, maybe_in
 
 
+#: Tables of up to so many rows of a few numbers, counted first, are one task's work.
+SMALL_ROWS = 500_000
 #: Stars go on while the pairs across components are more than so many times the unresolved rows.
 MANY = 8
 #: So many stars without a link end them.
@@ -28,10 +30,10 @@ def _hamming(a: str, b: str):
     return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
 
 
-def _are_stars(edges: DataFrame) -> bool:
+def _are_stars(edges: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> bool:
     """Each left end has one edge, to a node that is no left end itself."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("left"), F.lit(0).alias("right")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("left"), F.lit(1).alias("right")))
-    ends = ends.groupBy("x").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
+    ends = whole(ends).groupBy("x").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
     return ends.filter("left > 1 or (left = 1 and right = 1)").isEmpty()
 
 
@@ -39,22 +41,26 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     """(id, component) of every node of ``edges`` (u, v): the smallest id reachable.
 
     Alternating large-star and small-star contraction: the edge set shrinks to stars around the
-    smallest ids in a logarithmic number of rounds. Hubs are handled by ``join_unique``.
+    smallest ids in a logarithmic number of rounds. Hubs are handled by ``join_unique``. Up to
+    SMALL_ROWS rows, counted first, are one task's work without any shuffle.
     """
     now = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     rows = 2 * now.count()
+    small = rows <= SMALL_ROWS
+    whole = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    meet = lambda a, b: whole(a).join(whole(b), "u") if small else join_unique(a, b, "u", "n", "inner")
     for _ in range(max_rounds):
-        if _are_stars(now):
+        if _are_stars(now, whole):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
-        star = join_unique(both, least, "u", "n", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(star.filter("u <> v").distinct(), "large-star", rows)
+        least = scratch.table(whole(both).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
+        star = meet(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.table(whole(star.filter("u <> v")).distinct(), "large-star", rows)
         scratch.drop(now, least)
-        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
-        joined = join_unique(large, least, "u", "n", "inner")
+        least = scratch.table(whole(large).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
+        joined = meet(large, least)
         star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = scratch.table(star.filter("u <> v").distinct(), "small-star", rows)
+        now = scratch.table(whole(star.filter("u <> v")).distinct(), "small-star", rows)
         scratch.drop(large, least)
     else:
         raise RuntimeError("components did not settle")
@@ -98,12 +104,15 @@ def _unresolved(shared: DataFrame, component: DataFrame, scratch: Scratch) -> Da
     bucket of two has nothing to add to its star.
     """
     rows = shared.count()
-    rest = shared.filter("n > 2").select("key", "id", "s1", "s2").join(component, "id", "left")
+    small = rows <= SMALL_ROWS
+    whole = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    rest = whole(shared.filter("n > 2").select("key", "id", "s1", "s2")).join(whole(component), "id", "left")
     rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest", rows)
-    parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    parts = whole(rest).groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n"))
     parts = scratch.table(parts.filter("n > m.c").select("key", "n", (F.col("n") - F.col("m.c")).alias("others"), F.col("m.component").alias("main")), "unresolved", rows)
-    out = scratch.table(join_unique(maybe_in(rest, "key", parts, "key"), parts, "key", "n", "inner"), "open", rows)
+    out = whole(rest).join(whole(parts), "key") if small else join_unique(maybe_in(rest, "key", parts, "key"), parts, "key", "n", "inner")
+    out = scratch.table(out, "open", rows)
     scratch.drop(rest, parts)
     return out
 

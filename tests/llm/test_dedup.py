@@ -84,7 +84,8 @@ def test_min_max_agreement_estimates_similarity():
 
 
 def simhash(words, hashes):
-    return sum(1 << i for i in range(64) if 2 * sum(hashes[w] >> i & 1 for w in words) > len(words))
+    words = [w for w in words if len(w) >= lines.WORD_CHARS]
+    return sum(1 << i for i in range(64) if 2 * sum(hashes[w] >> i & 1 for w in words) > len(words)) if len(words) >= lines.MIN_WORDS else None
 
 
 def levenshtein(a, b):
@@ -107,7 +108,7 @@ def brute_lines(spark, rows):
     hashes = {r.w: r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     forms = sorted({x[3] for x in at})
     sims = [simhash(f.split(" "), hashes) for f in forms]
-    links = [(i, j) for i in range(len(forms)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= lines.APART and levenshtein(forms[i].split(" "), forms[j].split(" ")) <= 0.2 * max(len(forms[i].split(" ")), len(forms[j].split(" "))) + 1e-9]
+    links = [(i, j) for i in range(len(forms)) for j in range(i) if None not in (sims[i], sims[j]) and (sims[i] ^ sims[j]).bit_count() <= lines.APART and levenshtein(forms[i].split(" "), forms[j].split(" ")) <= 0.2 * max(len(forms[i].split(" ")), len(forms[j].split(" "))) + 1e-9]
     comp = find(links, range(len(forms)))
     group = {f: comp[i] for i, f in enumerate(forms)}
     first = {}
@@ -173,3 +174,12 @@ def test_lines_stage(spark, docs):
     rows = [(1, "first line of the text\nsecond line of the text"), (2, "first line of the text"), (3, ""), (4, None), (5, "  First   line of THE text\n\n"), (6, "first line of the text\nanother line stays")]
     out = lines.without_repeats(docs(*rows))
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str) == sorted([(1, rows[0][1], 46), (3, "", 0), (4, None, None), (6, "another line stays", 18)], key=str)
+
+
+def test_bucket_masks_meet_all_near_hashes():
+    rng = random.Random(8)
+    masks = lines.bucket_masks()
+    assert len(masks) == 20 and all(31 <= m.bit_count() <= 33 for m in masks)
+    for _ in range(3000):
+        apart = sum(1 << i for i in rng.sample(range(64), 3))
+        assert any(not apart & m for m in masks)
