@@ -30,6 +30,11 @@ def _hamming(a: str, b: str):
     return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
 
 
+def _near(test: int | Callable, a: str, b: str):
+    """Whether two sketches may be linked: at most so many bits apart, or by a test of their columns."""
+    return test(*(F.col(f"{x}{i}") for x in (a, b) for i in (1, 2))) if callable(test) else _hamming(a, b) <= test
+
+
 def _are_stars(edges: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> bool:
     """Each left end has one edge, to a node that is no left end itself."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("left"), F.lit(0).alias("right")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("left"), F.lit(1).alias("right")))
@@ -85,14 +90,14 @@ def shared_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def star_pairs(shared: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
+def star_pairs(shared: DataFrame, max_hamming: int | Callable, scratch: Scratch) -> DataFrame:
     """Distinct pairs (a, b), a > b, of each bucket's members with its smallest one, sketches near."""
     centre = shared.groupBy("key").agg(F.min(F.struct("id", "s1", "s2")).alias("c"), F.count(F.lit(1)).alias("n"))
     rows = shared.count()
     centre = scratch.table(centre, "centres", rows)
     pairs = join_unique(shared.drop("n"), centre, "key", "n", "inner")
     pairs = pairs.select(F.col("id").alias("a"), F.col("c.id").alias("b"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("c.s1").alias("y1"), F.col("c.s2").alias("y2"))
-    pairs = scratch.table(pairs.filter(F.col("a") > F.col("b")).filter(_hamming("x", "y") <= max_hamming).select("a", "b").distinct(), "star", rows)
+    pairs = scratch.table(pairs.filter(F.col("a") > F.col("b")).filter(_near(max_hamming, "x", "y")).select("a", "b").distinct(), "star", rows)
     scratch.drop(centre)
     return pairs
 
@@ -117,28 +122,29 @@ def _unresolved(shared: DataFrame, component: DataFrame, scratch: Scratch) -> Da
     return out
 
 
-def _more_stars(open_: DataFrame, turn: int, max_hamming: int) -> DataFrame:
+def _more_stars(open_: DataFrame, turn: int, max_hamming: int | Callable) -> DataFrame:
     """Pairs of each unresolved bucket's members with one from outside its largest component."""
     order = F.xxhash64("id", F.lit(turn))
     centre = open_.filter("component <> main").groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "s1", "s2")).alias("c"), F.max("n").alias("n"))
     pairs = join_unique(open_.drop("n", "main"), centre, "key", "n", "inner").filter(F.col("component") != F.col("c.component"))
     pairs = pairs.select("id", F.col("c.id").alias("other"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("c.s1").alias("y1"), F.col("c.s2").alias("y2"))
-    return pairs.filter(_hamming("x", "y") <= max_hamming).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    return pairs.filter(_near(max_hamming, "x", "y")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 
-def _cross_pairs(open_: DataFrame, max_hamming: int) -> DataFrame:
+def _cross_pairs(open_: DataFrame, max_hamming: int | Callable) -> DataFrame:
     """All distinct pairs of one bucket but different components, sketches near."""
     left = open_.filter("component <> main").select("key", "main", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
     right = open_.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
-    near = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))) & (_hamming("x", "y") <= max_hamming)
+    near = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))) & (_near(max_hamming, "x", "y"))
     return left.join(right, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], max_hamming: int, scratch: Scratch) -> DataFrame:
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], max_hamming: int | Callable, scratch: Scratch) -> DataFrame:
     """(id, component) of every item that is linked with another one.
 
     ``members`` has (key, id, s1, s2): an item's bucket and its sketch of up to 128 bits, the same
     for all its rows; ``verify`` takes pairs (a, b) with a > b and returns the linked ones.
+    ``max_hamming`` may also be a test of the columns s1, s2 of one sketch and s1, s2 of the other.
     Where a bucket's star leaves many members outside its largest component, stars around some of
     these follow, until few are left, or they bring nothing; then all pairs across components are
     looked at.

@@ -183,3 +183,22 @@ def test_bucket_masks_meet_all_near_hashes():
     for _ in range(3000):
         apart = sum(1 << i for i in rng.sample(range(64), 3))
         assert any(not apart & m for m in masks)
+
+
+def test_lines_meet_at_the_edit_similarity(spark, docs):
+    rng = random.Random(21)
+    rows, n = [], 0
+    for size in (5, 6, 8, 10, 12, 13, 15, 16, 20, 30, 60):
+        for turn in range(12):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+            other = list(words)
+            for k in rng.sample(range(size), size // 5):
+                other[k] = f"z{rng.randrange(10**9)}"
+            if turn % 4 == 1:  # edits as far apart as can be
+                other = [f"z{rng.randrange(10**9)}" if k % 5 == 4 else w for k, w in enumerate(words)]
+            if turn % 4 == 2:
+                other = words[: size - size // 5]
+            rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+            n += 1
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs(*rows)).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
