@@ -22,12 +22,11 @@ from pyspark.sql import types as T
 from .shared import Scratch, join_unique, with_default
 
 KINDS = ("assign", "access", "hex", "owned")
-#: From so many owners, or repositories, a value counts as a widely copied example.
+#: From so many owners, or repositories of more than one owner, a value counts as a widely copied example.
 WIDE_OWNERS = 3
 WIDE_REPOSITORIES = 20
-#: Bits of Shannon entropy per character, and longest length, of a live-looking value.
+#: Bits of Shannon entropy per character of a live-looking value.
 LIVE_BITS = 3.0
-LIVE_CHARS = 256
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _HINTS = ("password", "passwd", "secret", "token", "api")
@@ -38,7 +37,7 @@ _DUMMY = re.compile(r"example|changeme|placeholder|sample|dummy|x{4,}|\*{3,}|0{6
 
 
 def live_looking(value: str) -> bool:
-    if not 6 <= len(value) <= LIVE_CHARS or _DUMMY.search(value):
+    if len(value) < 6 or _DUMMY.search(value):
         return False
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -64,7 +63,7 @@ def extra_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         a, b = m.span()
         while i < len(base) and base[i][0] < a and base[i][2] <= a:
             i += 1
-        if any(s < b and e > a for s, _, e in base[max(0, i - 4) : i + 4]) or b - a > LIVE_CHARS:
+        if any(s < b and e > a for s, _, e in base[max(0, i - 4) : i + 4]):
             continue
         value = m.group()
         if sum(c.isdigit() for c in value) >= 3 and live_looking(value):
@@ -114,7 +113,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
     each = rows.select("rid", "owner", "repository", F.explode("found").alias("s")).select("rid", "owner", "repository", "s.*")
     known = scratch.table(ownership(each.select("hash", "owner", "repository")), "ownership")
     each = join_unique(each, known, "hash", "n", "inner")
-    wide = (F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)
+    wide = (F.col("owners") >= WIDE_OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") >= WIDE_REPOSITORIES))
     own = ~wide & (F.col("owners") == 1) & F.col("live")
     each = each.withColumn("wide", wide).withColumn("own", own).filter((F.col("kind") < 3) | F.col("own"))
     span = F.struct("start", "kind", "end")

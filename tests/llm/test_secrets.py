@@ -40,3 +40,13 @@ def test_ownership(spark, docs):
         assert by[r[0]].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(by[r[0]].spans.split(","))
     assert secrets.find_secrets(docs(*rows).limit(0)).count() == 0
+
+
+def test_values_of_one_owner_in_many_documents_and_long_ones(spark, docs):
+    mine, shared = "Zk9xQ2mB7vR4tL1pW8sD", "Hj4Kp9Lw2Xc7Vb5Nm8Qa"
+    long = "".join(hashlib.sha512(str(i).encode()).hexdigest()[:20] + "Q" for i in range(40))
+    rows = [(i, f"x {mine} y", "s1") for i in range(30)] + [(100 + i, f"x {shared} y", f"s{i % 2}") for i in range(30)] + [(200, f"a {long} b", "s1")]
+    by = {r.doc_id: r for r in secrets.find_secrets(docs(*rows)).collect()}
+    assert all(by[i].spans == "owned:2:22" and by[i].n_live == 1 and by[i].n_example == 0 for i in range(30))
+    assert all(by[100 + i].spans == "" for i in range(30))
+    assert by[200].spans == f"owned:2:{2 + len(long)}" and by[200].n_live == 1
