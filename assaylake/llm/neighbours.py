@@ -70,11 +70,13 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _pack(grp: int, ids: np.ndarray, x: np.ndarray, copies: int | None) -> pa.RecordBatch:
     if copies is not None:
-        # Equal vectors tie, and smaller ids win ties: no more than ``copies`` of them can be among the nearest.
+        # Equal vectors tie, and smaller ids win ties: no more than ``copies`` ids of them can be among the nearest.
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         _, which = np.unique(x.view([("", np.void, x.dtype.itemsize * x.shape[1])]).ravel(), return_inverse=True)
         by = np.argsort(which, kind="stable")
+        a, b = by[1:], by[:-1]
+        by = by[np.r_[True, (which[a] != which[b]) | (ids[a] != ids[b])]]  # an id counts once
         starts = np.r_[0, np.flatnonzero(np.diff(which[by])) + 1]
         rank = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
         keep = np.sort(by[rank < copies])

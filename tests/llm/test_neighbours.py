@@ -46,3 +46,11 @@ def test_bounds_hold():
     assert (np.abs(about - x @ x.T) <= bound).all()
     wide = np.full((2, 3000), 127, dtype=np.int8)
     assert neighbours.products(wide, wide)[0, 1] == 3000 * 127 * 127
+
+
+def test_repeated_ids_among_equal_vectors(spark):
+    rows = [(7, [1.0, 2.0])] * 6 + [(i, [1.0, 2.0]) for i in (8, 9, 10, 11, 12, 13)] + [(50, [1.0, 2.1]), (50, [1.0, 2.1]), (100, [1.0, 2.0]), (100, [1.0, 2.0])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {50: [7, 8, 9, 10, 11], 100: [7, 8, 9, 10, 11]}
