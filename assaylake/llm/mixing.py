@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Documents fall into blocks by a hash. A source's target is a number of whole passes over its blocks
-and a part of one more, taken block by block in a permuted order; only the last block is opened, its
-documents being taken while they fit. The exact block quotas of all sources are split over the output
+and a part of one more, taken block by block in a permuted order; the first block that does not fit is
+opened, its documents being taken while they fit, and what they leave is filled from the opened and the
+later blocks until no document fits. The exact block quotas of all sources are split over the output
 shards down a binary tree with multivariate hypergeometric draws, each shard then takes its quota's
 next blocks of the permuted order, and shuffles its documents locally. Every draw is seeded by names.
 """
@@ -103,7 +104,10 @@ def targets(sources: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEI
 
 
 def _source_draws(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One source's block draws, in order; the last may have a budget of words, in its opened block."""
+    """One source's block draws, in order; the last may have a budget of words, in its opened block.
+
+    Blocks after the opened one follow with budget -2: they are drawn only if the opened block leaves words.
+    """
     pdf = pdf.sort_values("block")
     key, words, target = pdf["sk"].iloc[0], int(pdf["words"].sum()), float(pdf["target"].iloc[0])
     passes = min(MOST_TIMES, int(target // words)) if words else 0
@@ -112,13 +116,16 @@ def _source_draws(pdf: pd.DataFrame) -> pd.DataFrame:
     for p in range(passes):
         out += [(b, -1) for b in _rng(key, p).permutation(names)]
     if rest > 0:
+        opened = False
         for i in _rng(key, passes).permutation(len(names)):
-            if sizes[i] <= rest:
+            if opened:
+                out.append((names[i], -2))
+            elif sizes[i] <= rest:
                 out.append((names[i], -1))
                 rest -= int(sizes[i])
             else:
                 out.append((names[i], rest))
-                break
+                opened = True
             if not rest:
                 break
     return pd.DataFrame({"sk": key, "block": [b for b, _ in out], "place": range(len(out)), "budget": [x for _, x in out]}).astype({"block": "int32", "place": "int64", "budget": "int64"})
@@ -131,10 +138,12 @@ def _opened(pdf: pd.DataFrame) -> pd.DataFrame:
     for words in pdf["words"]:
         took.append(0 < words <= rest)
         rest -= int(words) if took[-1] else 0
-    pdf, last = pdf.assign(took=took), [w for w, t in zip(pdf["words"], took, strict=True) if w and not t]
-    if last and min(last) - rest < rest:  # one more comes nearer
-        pdf.loc[(~pdf["took"]) & (pdf["words"] == min(last)) & (~pdf["took"] & (pdf["words"] == min(last))).cumsum().eq(1), "took"] = True
-    return pdf.loc[pdf["took"], ["sk", "block", "unit"]]
+    return pdf.loc[took, ["sk", "block", "unit", "words"]]
+
+
+def _filled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The units of one source's later blocks that its gap takes: by block in permuted order, while they fit."""
+    return _opened(pdf.assign(budget=pdf["gap"], h=list(zip(pdf["place"], pdf["h"], strict=True))))
 
 
 class Mix:
@@ -152,12 +161,24 @@ class Mix:
         found = placed.groupBy("sk", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
         found = self.scratch.table(found, "blocks")
         draws = found.join(self.sources.select("sk", "target"), "sk").groupBy("sk").applyInPandas(_source_draws, "sk string, block int, place long, budget long")
-        draws = self.scratch.table(draws, "draws")
+        every = self.scratch.table(draws, "draws")
+        draws, spare = every.filter("budget > -2"), every.filter("budget = -2").select("sk", "block", "place")
         self.draws = self.scratch.table(self._shards(draws, shard_words), "shards")
+        self.taken = self._taken(found)
+        opened = self.scratch.table(self._open(placed), "opened")
+        self.units = self._fill(placed, spare, opened)
+        if self.units is not opened:
+            # A later block that gives units is drawn by its source's last draw, in that draw's shard.
+            last = self.draws.filter("budget >= 0").select("sk", "budget", "shard", F.col("block").alias("first"))
+            later = self.units.select("sk", "block").distinct().join(last, "sk").join(spare, ["sk", "block"]).filter("block <> first")
+            self.draws = self.scratch.table(self.draws.unionByName(later.select(*self.draws.columns)), "all-draws")
+            self.taken = self._taken(found)
+
+    def _taken(self, found: DataFrame) -> DataFrame:
+        """(sk, block, whole, budget, docs): whole passes, and the budget if the block is opened."""
         whole = F.count_if(F.col("budget") < 0).alias("whole")
-        self.taken = self.draws.groupBy("sk", "block").agg(whole, F.max("budget").alias("budget"))
-        self.taken = self.scratch.table(self.taken.join(found.select("sk", "block", "docs"), ["sk", "block"]), "taken")
-        self.units = self.scratch.table(self._open(placed), "opened")
+        taken = self.draws.groupBy("sk", "block").agg(whole, F.max("budget").alias("budget"))
+        return self.scratch.table(taken.join(found.select("sk", "block", "docs"), ["sk", "block"]), "taken")
 
     def placed(self, sizes: DataFrame) -> DataFrame:
         """Rows with their source's key and their block and unit: rows alike in id and size are one unit."""
@@ -191,7 +212,7 @@ class Mix:
         return draws.join(ends, "sk").withColumn("shard", shard).drop("ends")
 
     def _open(self, placed: DataFrame) -> DataFrame:
-        """(sk, block, unit) that the opened blocks give; a block of many documents is cut again first."""
+        """(sk, block, unit, words) that the opened blocks give; a block of many documents is cut again first."""
         opened = self.taken.filter("budget >= 0").select("sk", "block", "budget", "docs")
         units = placed.select("sk", "block", "unit", "size").join(opened, ["sk", "block"])
         cuts = F.least(F.ceil(F.col("docs") / (4 * BLOCK_DOCS)), F.lit(BLOCKS))
@@ -201,11 +222,47 @@ class Mix:
         before = Window.partitionBy("sk", "block").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("left", F.col("budget") - F.coalesce(F.sum("part_words").over(before), F.lit(0))).filter("left > 0").drop("budget")
         units = self.scratch.table(units.drop("budget").join(parts, ["sk", "block", "cut"]), "opened-units")
-        whole = units.filter("part_words <= left").select("sk", "block", "unit")
+        whole = units.filter("part_words <= left and words > 0").select("sk", "block", "unit", "words")
         part = units.filter("part_words > left").select("sk", "block", "unit", "words", "h", F.col("left").alias("budget"))
-        part = part.groupBy("sk", "block").applyInPandas(_opened, "sk string, block int, unit string")
+        part = part.groupBy("sk", "block").applyInPandas(_opened, "sk string, block int, unit string, words long")
         return whole.unionByName(part)
 
+    def _fill(self, placed: DataFrame, spare: DataFrame, opened: DataFrame) -> DataFrame:
+        """``opened`` with units of the opened and the spare blocks, until none fits what its source lacks.
+
+        Each turn looks at as many blocks, in their order, as hold a source's gap in units that fit; at
+        last one more unit is taken where that comes nearer to the target.
+        """
+        budgets = self.draws.filter("budget >= 0").select("sk", "block", "place", "budget")
+
+        def gaps(units: DataFrame) -> DataFrame:
+            got = units.groupBy("sk").agg(F.sum("words").alias("got"))
+            gap = F.col("budget") - F.coalesce("got", F.lit(0))
+            return self.scratch.table(budgets.join(got, "sk", "left").select("sk", gap.alias("gap")).filter("gap > 0"), "gaps")
+
+        gap = gaps(opened)
+        if gap.isEmpty():
+            return opened
+        # A unit of twice the gap or more comes no nearer, now or later.
+        blocks = budgets.select("sk", "block", "place").unionByName(spare).join(gap, "sk")
+        rows = placed.filter("size > 0").select("sk", "block", "unit", "size").join(blocks, ["sk", "block"])
+        rows = rows.groupBy("sk", "block", "place", "gap", "unit").agg(F.sum("size").alias("words")).filter("words < 2 * gap").drop("gap")
+        rows = rows.join(opened.select("sk", "block", "unit"), ["sk", "block", "unit"], "left_anti")
+        rows = self.scratch.table(rows.withColumn("h", F.xxhash64(F.lit(self.seed + 1), "unit")), "spare")
+        units, schema = opened, "sk string, block int, unit string, words long"
+        before = Window.partitionBy("sk").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        while True:
+            left = rows.join(units.select("sk", "block", "unit"), ["sk", "block", "unit"], "left_anti").join(gap, "sk")
+            fits = self.scratch.table(left.filter("words <= gap"), "fits")
+            if fits.isEmpty():
+                break
+            near = fits.groupBy("sk", "place", "gap").agg(F.sum("words").alias("w")).withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
+            some = fits.join(near.filter("before < gap").select("sk", "place"), ["sk", "place"])
+            units = self.scratch.table(units.unionByName(some.groupBy("sk").applyInPandas(_filled, schema)), "filled")
+            gap = gaps(units)
+        more = left.filter("words < 2 * gap").groupBy("sk").agg(F.min(F.struct("words", "place", "h", "block", "unit")).alias("m"))
+        return self.scratch.table(units.unionByName(more.select("sk", "m.block", "m.unit", "m.words")), "filled")
+
     def copies(self, placed: DataFrame) -> DataFrame:
         """``placed`` with ``whole``, the passes that take the row's block, and ``part``, whether an opened block gives it."""
         rows = placed.join(self.taken.select("sk", "block", "whole"), ["sk", "block"], "left").withColumn("whole", F.coalesce("whole", F.lit(0)))

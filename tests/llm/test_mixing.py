@@ -80,3 +80,19 @@ def test_splitting_tree():
     assert (got.sum(axis=0) == colours).all() and (got.sum(axis=1) == leaves).all() and (got >= 0).all()
     draws = np.array([mixing.split_tree(np.array([30, 10]), np.array([20, 20]), "y", i)[0] for i in range(2000)])
     assert abs(draws[:, 0].mean() - 15) < 0.15 and abs(draws[:, 0].var() - 20 * 0.75 * 0.25 * 20 / 39) < 0.25
+
+
+def test_small_source_with_one_very_long_document(spark, docs):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(300, 450), "long") for i in range(400)] + [(999, "w " * 200_000, "long")]
+    rows += [(2000 + i, "w " * 400, s) for s in "abcdef" for i in range(40 * ord(s), 40 * ord(s) + 40)]
+    for seed in (11, 12):
+        mix = mixing.Mix(docs(*rows), seed=seed)
+        got = mix.copies(mix.placed(mix.sizes)).selectExpr("sk", "target", "size * (whole + part) as taken", "whole + part as times").collect()
+        took, target = defaultdict(int), {}
+        for r in got:
+            took[r.sk] += r.taken
+            target[r.sk] = r.target
+            assert r.times <= 2
+        # No document that was left out, or taken once less, would come nearer.
+        assert all(abs(took[s] - target[s]) <= 225 for s in took), (seed, took, target)
