@@ -202,3 +202,8 @@ def test_lines_meet_at_the_edit_similarity(spark, docs):
             n += 1
     got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs(*rows)).collect()}
     assert got == {i: i % 2 for i, _ in rows}
+
+
+def test_lines_of_short_words_meet(spark, docs):
+    rows = [(1, "add to my cart now and pay 10"), (2, "add to my cart now and pay 20"), (3, "a b c d e f g h"), (4, "a b x d e f g h"), (5, "no two of us are in it at all"), (6, "a b c q r s t u v")]
+    assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs(*rows)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
