@@ -207,3 +207,12 @@ def test_lines_meet_at_the_edit_similarity(spark, docs):
 def test_lines_of_short_words_meet(spark, docs):
     rows = [(1, "add to my cart now and pay 10"), (2, "add to my cart now and pay 20"), (3, "a b c d e f g h"), (4, "a b x d e f g h"), (5, "no two of us are in it at all"), (6, "a b c q r s t u v")]
     assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs(*rows)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
+
+
+def test_very_long_lines_meet(spark, docs):
+    rng = random.Random(6)
+    words = [f"word{rng.randrange(10**6)}" for _ in range(5000)]
+    other = [f"z{i}" if i % 50 == 7 else w for i, w in enumerate(words)]
+    apart = [f"word{rng.randrange(10**6)}" for _ in range(5000)]
+    got = lines.dedup_lines(docs((1, " ".join(words)), (2, " ".join(other)), (3, " ".join(apart)))).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 0}
