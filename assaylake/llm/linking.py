@@ -1,11 +1,10 @@
 """Connected groups of similar items, from the buckets they share, without all pairs of a bucket.
 
-Native DataFrame operations only. Items meet in buckets (bands of a signature). Each bucket first
-compares its members with one centre; components over these edges then show which buckets still
-hold members of different components, and only pairs across components are looked at again,
-outside the bucket's largest component. With ``linked_components`` every pair that shares a bucket
-and passes the sketch test is thus either confirmed, refused by ``verify``, or already inside one
-component; with ``families`` it is inside one family, to be searched by its own means.
+Native DataFrame operations only. Items meet in buckets (names that they share). Each bucket first
+compares its members with its smallest and its largest one, which are all pairs of a bucket of up
+to three; components over the confirmed links then show which buckets still hold members of
+different components. Only these look at pairs across components, outside the bucket's largest
+component, in tiles of bounded size that give the pairs whose sketches allow a link and no others.
 """
 
 from __future__ import annotations
@@ -17,28 +16,14 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, join_unique, maybe_in
 
+#: Members of a bucket on each side of a tile.
+TILE_ROWS = 1024
 
-#: Tables of up to so many rows of a few numbers, counted first, are one task's work.
-SMALL_ROWS = 500_000
-#: Stars go on while the pairs across components are more than so many times the unresolved rows.
-MANY = 8
-#: So many stars without a link end them.
-IDLE_TURNS = 2
 
-
-def _hamming(a: str, b: str):
-    return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
-
-
-def _near(test: int | Callable, a: str, b: str):
-    """Whether two sketches may be linked: at most so many bits apart, or by a test of their columns."""
-    return test(*(F.col(f"{x}{i}") for x in (a, b) for i in (1, 2))) if callable(test) else _hamming(a, b) <= test
-
-
-def _are_stars(edges: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> bool:
+def _are_stars(edges: DataFrame) -> bool:
     """Each left end has one edge, to a node that is no left end itself."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("left"), F.lit(0).alias("right")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("left"), F.lit(1).alias("right")))
-    ends = whole(ends).groupBy("x").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
+    ends = ends.groupBy("x").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
     return ends.filter("left > 1 or (left = 1 and right = 1)").isEmpty()
 
 
@@ -46,27 +31,22 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     """(id, component) of every node of ``edges`` (u, v): the smallest id reachable.
 
     Alternating large-star and small-star contraction: the edge set shrinks to stars around the
-    smallest ids in a logarithmic number of rounds. Hubs are handled by ``join_unique``. Up to
-    SMALL_ROWS rows, counted first, are one task's work without any shuffle.
+    smallest ids in a logarithmic number of rounds. Hubs are handled by ``join_unique``.
     """
     now = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    rows = 2 * now.count()
-    small = rows <= SMALL_ROWS
-    whole = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    meet = lambda a, b: whole(a).join(whole(b), "u") if small else join_unique(a, b, "u", "n", "inner")
     for _ in range(max_rounds):
-        if _are_stars(now, whole):
+        if _are_stars(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(whole(both).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
-        star = meet(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(whole(star.filter("u <> v")).distinct(), "large-star", rows)
-        scratch.drop(now, least)
-        least = scratch.table(whole(large).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", rows)
-        joined = meet(large, least)
-        star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = scratch.table(whole(star.filter("u <> v")).distinct(), "small-star", rows)
-        scratch.drop(large, least)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        star = join_unique(both, least, "u", "n", "inner").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.table(star.distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_unique(large, least, "u", "n", "inner")
+        star = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        then = scratch.table(star.filter("u <> v").distinct(), "small-star")
+        scratch.drop(now, large)
+        now = then
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
@@ -74,12 +54,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     )
 
 
-def _edges(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
 def shared_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, s1, s2, n): the rows of ``members`` (key, id, s1, s2) whose bucket holds n > 1 of them.
+    """The rows of ``members`` (key, id, ...) whose bucket holds n > 1 of them, with n.
 
     Buckets are counted by name alone, and a bitmap of the shared ones keeps most others from
     being shuffled with their items.
@@ -90,92 +66,73 @@ def shared_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def star_pairs(shared: DataFrame, max_hamming: int | Callable, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of each bucket's members with its smallest one, sketches near."""
-    centre = shared.groupBy("key").agg(F.min(F.struct("id", "s1", "s2")).alias("c"), F.count(F.lit(1)).alias("n"))
-    rows = shared.count()
-    centre = scratch.table(centre, "centres", rows)
-    pairs = join_unique(shared.drop("n"), centre, "key", "n", "inner")
-    pairs = pairs.select(F.col("id").alias("a"), F.col("c.id").alias("b"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("c.s1").alias("y1"), F.col("c.s2").alias("y2"))
-    pairs = scratch.table(pairs.filter(F.col("a") > F.col("b")).filter(_near(max_hamming, "x", "y")).select("a", "b").distinct(), "star", rows)
-    scratch.drop(centre)
+def _star_pairs(shared: DataFrame, may: Callable, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of each bucket's members with its smallest and its largest one."""
+    own = F.struct("id", "size")
+    ends = shared.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count(F.lit(1)).alias("n"))
+    ends = scratch.table(ends, "ends")
+    pairs = join_unique(shared.drop("n"), ends, "key", "n", "inner").select("id", "size", F.explode(F.array("low", "high")).alias("c"))
+    pairs = pairs.filter((F.col("id") != F.col("c.id")) & may(F.col("size"), F.col("c.size")))
+    pairs = scratch.table(pairs.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct(), "star")
+    scratch.drop(ends)
     return pairs
 
 
 def _unresolved(shared: DataFrame, component: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, s1, s2, component, main, others, n): rows of the buckets that lie in several components.
+    """(key, id, size, component, main, others, n): rows of the buckets that lie in several components.
 
     ``main`` is a bucket's largest component, ``others`` the number of its n rows outside of it. A
-    bucket of two has nothing to add to its star.
+    bucket of three has nothing to add to its stars.
     """
-    rows = shared.count()
-    small = rows <= SMALL_ROWS
-    whole = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    rest = whole(shared.filter("n > 2").select("key", "id", "s1", "s2")).join(whole(component), "id", "left")
-    rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest", rows)
-    parts = whole(rest).groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    rest = shared.filter("n > 3").drop("n").join(component, "id", "left")
+    rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest")
+    parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n"))
-    parts = scratch.table(parts.filter("n > m.c").select("key", "n", (F.col("n") - F.col("m.c")).alias("others"), F.col("m.component").alias("main")), "unresolved", rows)
-    out = whole(rest).join(whole(parts), "key") if small else join_unique(maybe_in(rest, "key", parts, "key"), parts, "key", "n", "inner")
-    out = scratch.table(out, "open", rows)
+    parts = parts.filter("n > m.c").select("key", "n", (F.col("n") - F.col("m.c")).alias("others"), F.col("m.component").alias("main"))
+    parts = scratch.table(parts, "unresolved")
+    out = scratch.table(join_unique(maybe_in(rest, "key", parts, "key"), parts, "key", "n", "inner"), "open")
     scratch.drop(rest, parts)
     return out
 
 
-def _more_stars(open_: DataFrame, turn: int, max_hamming: int | Callable) -> DataFrame:
-    """Pairs of each unresolved bucket's members with one from outside its largest component."""
-    order = F.xxhash64("id", F.lit(turn))
-    centre = open_.filter("component <> main").groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component", "s1", "s2")).alias("c"), F.max("n").alias("n"))
-    pairs = join_unique(open_.drop("n", "main"), centre, "key", "n", "inner").filter(F.col("component") != F.col("c.component"))
-    pairs = pairs.select("id", F.col("c.id").alias("other"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("c.s1").alias("y1"), F.col("c.s2").alias("y2"))
-    return pairs.filter(_near(max_hamming, "x", "y")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+def _cross_pairs(open_: DataFrame, sketches: DataFrame, may: Callable, near: Callable) -> DataFrame:
+    """Distinct pairs of one bucket but different components that size and sketch allow to be links.
 
-
-def _cross_pairs(open_: DataFrame, max_hamming: int | Callable) -> DataFrame:
-    """All distinct pairs of one bucket but different components, sketches near."""
-    left = open_.filter("component <> main").select("key", "main", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-    right = open_.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
-    near = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))) & (_near(max_hamming, "x", "y"))
-    return left.join(right, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], max_hamming: int | Callable, scratch: Scratch) -> DataFrame:
+    Members are dealt over the tiles of their bucket, those outside the main component on one side,
+    all on the other, so that no task meets more than TILE_ROWS of a bucket on either.
+    """
+    rows = open_.join(sketches, "id")
+    parts = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), parts(n) - 1)
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), parts(n)).cast("int")
+    side = lambda *more: F.struct("id", "size", "component", "sketch", *more)
+    left = rows.filter("component <> main").select("key", own("others", 1).alias("i"), F.explode(upto("n")).alias("j"), side("main").alias("x"))
+    right = rows.select("key", F.explode(upto("others")).alias("i"), own("n", 2).alias("j"), side().alias("y"))
+    once = (F.col("y.component") == F.col("x.main")) | (F.col("x.id") > F.col("y.id"))
+    allowed = (F.col("x.component") != F.col("y.component")) & once & may(F.col("x.size"), F.col("y.size"))
+    allowed = allowed & near(F.col("x.size"), F.col("x.sketch"), F.col("y.size"), F.col("y.sketch"))
+    pairs = left.join(right, ["key", "i", "j"]).filter(allowed)
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
+def linked_components(members: DataFrame, verify: Callable, may: Callable, sketch: Callable, near: Callable, scratch: Scratch) -> DataFrame:
     """(id, component) of every item that is linked with another one.
 
-    ``members`` has (key, id, s1, s2): an item's bucket and its sketch of up to 128 bits, the same
-    for all its rows; ``verify`` takes pairs (a, b) with a > b and returns the linked ones.
-    ``max_hamming`` may also be a test of the columns s1, s2 of one sketch and s1, s2 of the other.
-    Where a bucket's star leaves many members outside its largest component, stars around some of
-    these follow, until few are left, or they bring nothing; then all pairs across components are
-    looked at.
+    ``members`` has (key, id, size): an item's buckets and its size; ``verify`` takes pairs (a, b)
+    with a > b and returns the linked ones. ``may`` tells from two sizes, ``near`` from sizes and
+    sketches whether items can be linked; ``sketch`` gives (id, sketch) of the ids it is asked for.
     """
     shared = shared_buckets(members, scratch)
-    seen = star_pairs(shared, max_hamming, scratch)
-    links = scratch.table(_edges(verify(seen)), "links")
+    seen = _star_pairs(shared, may, scratch)
+    edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = scratch.table(edges(verify(seen)), "links")
     found = components(links, scratch)
-    turn, idle = 0, 0
-    while True:
-        open_ = _unresolved(shared, found, scratch)
-        work = open_.filter("component <> main").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
-        every = not work.rows or work.pairs <= MANY * open_.count() or idle == IDLE_TURNS
-        pairs = _cross_pairs(open_, max_hamming) if every else _more_stars(open_, turn, max_hamming)
-        pairs = scratch.table(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        more = scratch.table(_edges(verify(pairs)), "more") if not pairs.isEmpty() else None
-        some = more is not None and not more.isEmpty()
-        if some:
-            links = scratch.table(links.unionByName(more), "links")
-            found = components(links, scratch)
-        scratch.drop(open_)
-        if every:
-            scratch.drop(shared)
-            return found
-        seen = scratch.table(seen.unionByName(pairs), "seen")
-        turn, idle = turn + 1, 0 if some else idle + 1
-
-
-def families(members: DataFrame, max_hamming: int, scratch: Scratch) -> DataFrame:
-    """(id, component): groups so wide that every two items of one bucket with near sketches are in one.
-
-    Nothing is verified here; the links are to be looked for within each family.
-    """
-    return linked_components(members, lambda pairs: pairs, max_hamming, scratch)
+    open_ = _unresolved(shared, found, scratch)
+    scratch.drop(shared)
+    if open_.isEmpty():
+        return found
+    sketches = scratch.table(sketch(open_.select("id").distinct()), "sketches")
+    pairs = scratch.table(_cross_pairs(open_, sketches, may, near).join(seen, ["a", "b"], "left_anti"), "pairs")
+    more = scratch.table(edges(verify(pairs)), "more")
+    scratch.drop(open_, sketches)
+    return components(links.unionByName(more), scratch) if not more.isEmpty() else found

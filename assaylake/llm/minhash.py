@@ -2,14 +2,15 @@
 
 Each of PERMUTATIONS hash functions gives both the minimum and the maximum over a text's shingles,
 so that half the hash evaluations fill the signature. Bands of it name buckets; texts that share a
-bucket and whose sketches are near fall into one family, see ``linking``; inside each family, full
-shingle sets are compared in tiles. Equal sets are one node.
+bucket and whose sketches are near fall into one family; inside each family, full shingle sets are
+compared. Buckets and families alike are cut into chunks of bounded size that meet in tiles; a tile
+gives a spanning forest of its links, never all its pairs. Equal sets are one node.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linking import components, families
-from .shared import Scratch, join_unique, maybe_in, split_by
+from .linking import components, shared_buckets
+from .shared import Scratch, join_unique, maybe_in, packed, split_by
 
 #: 2 * PERMUTATIONS = BANDS * ROWS. A pair at similarity 0.8 misses all bands with probability 1.2e-5,
 #: one at 0.25, as texts that share a passage are, shares one with probability 3e-3.
 PERMUTATIONS, BANDS, ROWS = 168, 48, 7
-#: Of the 128 sketch bits a pair at similarity 0.8 has 13 apart on average; 36 is over six deviations away.
-SKETCH_APART = 36
+#: Of the 320 sketch bits, in five longs, a pair at similarity 0.8 has 32 apart on average; 66 is over six
+#: deviations away (less than 1e-9 of such pairs), and about where pairs at 0.6 are.
+SKETCH_WORDS, SKETCH_APART = 5, 66
 PERCENT = 80
 
 _RNG = np.random.default_rng(20240229)
@@ -34,8 +36,8 @@ _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _BAND_MIX = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SEED = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 _BLOCK = 8192
-#: Sets, and shingles, of a chunk of a family; a tile holds two chunks. Columns of a product.
-TILE_SETS, TILE_SHINGLES, _COLUMNS = 512, 600_000, 4096
+#: Members of a chunk of a bucket; sets, and shingles, of a chunk of a family; a tile holds two chunks. Columns of a product.
+TILE_MEMBERS, TILE_SETS, TILE_SHINGLES, _COLUMNS = 1024, 512, 600_000, 4096
 #: Texts whose signatures are held at a time.
 _ROWS = 1024
 
@@ -78,9 +80,9 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """Two 64-bit words with one bit of each of the first 128 values."""
-    bit = (_mixed(sig)[..., :128] >> np.uint64(17)) & np.uint64(1)
-    return (bit.reshape(*sig.shape[:-1], 2, 64) << np.arange(64, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64).view(np.int64)
+    """SKETCH_WORDS words of 64 bits with one bit of each of the first values."""
+    bit = (_mixed(sig)[..., : 64 * SKETCH_WORDS] >> np.uint64(17)) & np.uint64(1)
+    return (bit.reshape(*sig.shape[:-1], SKETCH_WORDS, 64) << np.arange(64, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64).view(np.int64)
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -105,16 +107,38 @@ def hashed(docs: DataFrame, width: int) -> DataFrame:
                 ids.append(set_id(s))
                 sigs.append(signature(s))
             sig = np.array(sigs, dtype=np.uint64).reshape(-1, 2 * PERMUTATIONS)
-            names, two = bands(sig), sketch(sig)
+            names, two = bands(sig), np.ascontiguousarray(sketch(sig))
             names = pa.array([list(x) if n else [] for x, n in zip(names, sizes, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), names, pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "dk", "n_shingles", "set_id", "bands", "s1", "s2"])
+            rows = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), names, pa.FixedSizeListArray.from_arrays(two.ravel(), SKETCH_WORDS).cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(rows, ["doc_id", "dk", "n_shingles", "set_id", "bands", "sketch"])
 
     long = T.LongType()
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, long) for c in ("dk", "n_shingles", "set_id"))]
-    fields += [T.StructField("bands", T.ArrayType(long)), T.StructField("s1", long), T.StructField("s2", long)]
+    fields += [T.StructField("bands", T.ArrayType(long)), T.StructField("sketch", T.ArrayType(long))]
     return _keyed(docs).mapInArrow(run, T.StructType(fields))
 
 
+def forest(like: np.ndarray) -> list[tuple[int, int]]:
+    """(i, root) for each node that a symmetric adjacency connects with a smaller one; roots are the smallest."""
+    left, out = np.ones(len(like), dtype=bool), []
+    for root in range(len(like)):
+        front = [root] if left[root] else []
+        left[root] = False
+        while len(front):
+            front = np.flatnonzero(like[front].any(axis=0) & left)
+            left[front] = False
+            out += [(int(i), root) for i in front]
+    return out
+
+
+def near_sketches(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what near sketches connect, among ascending ids."""
+    like = np.zeros((len(ids), len(ids)), dtype=bool)
+    for i in range(0, len(ids), 256):
+        like[i : i + 256] = np.bitwise_count(sketches[i : i + 256, None] ^ sketches[None]).sum(axis=2) <= SKETCH_APART
+    return [(int(ids[i]), int(ids[j])) for i, j in forest(like)]
+
+
 def tile_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges that connect, through links alone, what the links among these sets connect.
 
@@ -141,20 +165,57 @@ def tile_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
         x = np.zeros((n, _COLUMNS), dtype=np.float32)
         x[row[a:b], column[a:b] - low] = 1
         both += x @ x.T
-    like = 100 * both >= percent * (size[:, None] + size - both)
-    np.fill_diagonal(like, True)
-    label = np.arange(n)
-    while True:
-        then = np.where(like, label, n).min(axis=1)
-        then = then[then]
-        if (then == label).all():
-            return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
-        label = then
+    return [(int(ids[i]), int(ids[j])) for i, j in forest(100 * both >= percent * (size[:, None] + size - both))]
+
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
-def _links(docs: DataFrame, tiled: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): edges among the sets of each tile. ``tiled`` has (dk, set_id, tiles) for each set."""
-    held = maybe_in(_keyed(docs).select("dk", "text"), "dk", tiled, "dk").join(tiled, "dk", "inner").select("tiles", "set_id", "text")
+
+def sketch_links(tiled: DataFrame) -> DataFrame:
+    """(u, v): edges among the members of each tile. ``tiled`` has (id, sketch, tiles) for each member."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in _closed(batches):
+            if b is not None:
+                tile, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                words = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
+                if kept is not None:
+                    tile, ids, words = (np.concatenate(x) for x in zip(kept, (tile, ids, words), strict=True))
+                end = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
+                kept = tile[end:], ids[end:], words[end:]
+                tile, ids, words = tile[:end], ids[:end], words[:end]
+            elif kept is not None:
+                tile, ids, words = kept
+            else:
+                return
+            if not len(tile):
+                continue
+            start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+            first = np.repeat(start, np.diff(np.r_[start, len(tile)]))
+            near = np.bitwise_count(words ^ words[first]).sum(axis=1) <= SKETCH_APART
+            own = near & (ids != ids[first])
+            found = list(zip(ids[own].tolist(), ids[first][own].tolist(), strict=True))
+            # Only tiles with members far from their first one need more than a star.
+            for at in np.unique(first[~near]).tolist():
+                to = int(np.searchsorted(first, at, side="right"))
+                found += near_sketches(ids[at:to], words[at:to])
+            yield _edges(found)
+
+    rows = tiled.select(F.explode("tiles").alias("tile"), "id", "sketch")
+    return rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(link, "u long, v long")
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def set_links(docs: DataFrame, tiled: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): edges among the sets of each tile. ``tiled`` has (dk, id, tiles) for each set."""
+    held = maybe_in(_keyed(docs).select("dk", "text"), "dk", tiled, "dk").join(tiled, "dk", "inner").select("tiles", "id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,63 +226,70 @@ def _links(docs: DataFrame, tiled: DataFrame, width: int, percent: int) -> DataF
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held = None, [], []
-
-        def found() -> pa.RecordBatch:
-            out = tile_links(ids, held, percent)
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
-
         for b in batches:
             for tile, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if tile != now:
-                    yield found()
+                    yield _edges(tile_links(ids, held, percent))
                     now, ids, held = tile, [], []
                 ids.append(i)
                 held.append(np.frombuffer(x.as_py(), dtype=np.uint64))
-        yield found()
+        yield _edges(tile_links(ids, held, percent))
 
     rows = held.mapInArrow(sets, "tile long, id long, shingles binary")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(link, "u long, v long")
 
 
-def _tile(family, i, j):
-    return F.xxhash64(family, i, j)
+def connected(rows: DataFrame, weight: str, chunks, link: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """(id, component) over the links inside each group of ``rows`` (grp, id, n, w, ...).
 
-
-def link_families(docs: DataFrame, found: DataFrame, sets: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, component) over the links inside each family; see ``families``.
-
-    A family is cut into chunks of bounded size. Its first chunk meets each other one in a tile,
-    which is all of a small family; what is then outside the largest component meets all chunks.
+    A group of n members and weight w is cut into ``chunks(n, w)`` chunks. Its first chunk meets each
+    other one in a tile, which is all of a small group; what is then outside the group's largest
+    component meets all chunks. ``link`` gives the edges inside the tiles of (id, ..., tiles).
     """
-    rows = found.join(sets.select("set_id", "dk", "n_shingles"), F.col("id") == F.col("set_id")).select("set_id", "dk", "n_shingles", F.col("component").alias("family"))
-    chunks = lambda count, words: F.greatest(F.ceil(count / TILE_SETS), F.ceil(words / TILE_SHINGLES), F.lit(1))
-    size = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    size = scratch.table(size.select("family", "n", chunks(F.col("n"), F.col("w")).alias("chunks")), "family-sizes")
-    rows = join_unique(rows, size, "family", "n", "inner")
-    rows = scratch.table(rows.withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")), "family-members")
-    first = F.when(F.col("chunk") > 0, F.array("chunk")).when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1))
-    tiled = rows.select("dk", "set_id", F.transform(first, lambda j: _tile(F.col("family"), F.lit(0).cast("long"), j)).alias("tiles"))
-    links = scratch.table(_links(docs, tiled, width, percent), "links")
+    rows = scratch.table(rows.withColumn("chunks", chunks(F.col("n"), F.col("w"))).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")), "members")
+    tile = lambda i, j: F.xxhash64("grp", i, j)
+    zero = F.lit(0).cast("long")
+    first = F.when(F.col("chunk") > 0, F.array("chunk")).when(F.col("chunks") == 1, F.array(zero)).otherwise(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1))
+    links = scratch.table(link(rows.withColumn("tiles", F.transform(first, lambda j: tile(zero, j)))), "links")
     done = components(links, scratch)
 
-    large = rows.filter("chunks > 2")
+    large = rows.filter("chunks > 2").drop("n", "w")
     if large.isEmpty():
         return done
-    large = large.join(done.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    large = scratch.table(large.drop("n"), "large")
-    parts = large.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
-    parts = parts.groupBy("family").agg(F.max(F.struct("c", "component", "w")).alias("main"), F.sum("c").alias("n"), F.sum("w").alias("w"))
-    parts = parts.filter("n > main.c").select("family", "n", F.col("main.component").alias("main"), chunks(F.col("n") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("others"))
-    large = join_unique(large, scratch.table(parts, "large-parts"), "family", "n", "inner")
-    other = F.pmod(F.xxhash64("set_id", F.lit(1)), "others")
-    rows_of = lambda i, j: F.transform(i, lambda x: F.transform(j, lambda y: _tile(F.col("family"), x + 1, y)))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    large = scratch.table(large.join(done, "id", "left").withColumn("component", F.coalesce("component", "id")), "large")
+    parts = large.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
+    parts = parts.groupBy("grp").agg(F.max(F.struct("c", "component", "w")).alias("main"), F.sum("c").alias("n"), F.sum("w").alias("w"))
+    parts = parts.filter("n > main.c").select("grp", "n", F.col("main.component").alias("main"), chunks(F.col("n") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("others"))
+    large = join_unique(large, scratch.table(parts, "large-parts"), "grp", "n", "inner")
+    other = F.pmod(F.xxhash64("id", F.lit(1)), "others")
+    rows_of = lambda i, j: F.transform(i, lambda x: F.transform(j, lambda y: tile(x + 1, y)))
+    upto = lambda n: F.sequence(zero, n - 1)
     tiles = F.flatten(rows_of(upto(F.col("others")), F.array("chunk")))
     tiles = F.when(F.col("component") == F.col("main"), tiles).otherwise(F.array_union(tiles, F.flatten(rows_of(F.array(other), upto(F.col("chunks"))))))
-    more = scratch.table(_links(docs, large.select("dk", "set_id", tiles.alias("tiles")), width, percent), "more")
+    more = scratch.table(link(large.withColumn("tiles", tiles)), "more")
     return components(links.unionByName(more), scratch)
 
 
+def families(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component): every two items of one bucket with near sketches are in one family.
+
+    ``members`` has (key, id, sketch). Nothing is verified here; links are to be looked for inside
+    each family.
+    """
+    shared = shared_buckets(members, scratch).select(F.col("key").alias("grp"), "id", "sketch", "n", F.lit(1).cast("long").alias("w"))
+    chunks = lambda n, w: F.greatest(F.ceil(n / TILE_MEMBERS), F.lit(1))
+    return connected(shared, F.lit(1).cast("long"), chunks, sketch_links, scratch)
+
+
+def link_families(docs: DataFrame, found: DataFrame, sets: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, component) over the links inside each family; see ``families``."""
+    rows = found.join(sets.select(F.col("set_id").alias("id"), "dk", "n_shingles"), "id").withColumnRenamed("component", "grp")
+    size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).filter("n > 1")
+    rows = join_unique(rows, scratch.table(size, "family-sizes"), "grp", "n", "inner")
+    chunks = lambda n, w: F.greatest(F.ceil(n / TILE_SETS), F.ceil(w / TILE_SHINGLES), F.lit(1))
+    return connected(rows, "n_shingles", chunks, lambda tiled: set_links(docs, tiled.select("dk", "id", "tiles"), width, percent), scratch)
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``, one row for each.
 
@@ -234,15 +302,15 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
 
 
 def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    docs = docs.select("doc_id", "text")
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(hashed(docs, width).withColumn("rid", F.monotonically_increasing_id()), "hashed")
     some = rows.filter("n_shingles > 0")
-    least = ("doc_id", "n_shingles", "s1", "s2")
-    sets = some.groupBy("set_id").agg(F.min(F.struct("rid", "dk")).alias("r"), *(F.min(c).alias(c) for c in least), F.count(F.lit(1)).alias("n"))
-    sets = scratch.table(sets.select("set_id", "r.rid", "r.dk", *least, "n"), "sets")
-    one = some.select("rid", "bands").join(sets.select("rid", "set_id", "s1", "s2"), "rid")
-    members = scratch.table(one.drop("rid"), "bands").select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "s1", "s2")
-    linked = link_families(docs, families(members, SKETCH_APART, scratch), sets, width, percent, scratch)
+    sets = some.groupBy("set_id").agg(F.min(F.struct("rid", "dk")).alias("r"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n"))
+    sets = scratch.table(sets.select("set_id", "r.rid", "r.dk", "doc_id", "n_shingles", "n"), "sets")
+    one = some.select("rid", "set_id", "bands", "sketch").join(sets.select("rid"), "rid").drop("rid")
+    members = scratch.table(one, "bands").select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "sketch")
+    linked = link_families(docs, families(members, scratch), sets, width, percent, scratch)
     labelled = sets.join(linked, F.col("set_id") == F.col("id"), "left").select("set_id", "doc_id", "n", F.coalesce("component", "set_id").alias("component"))
     labelled = scratch.table(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
@@ -257,22 +325,22 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERC
     """``docs``, all columns, with one document of each near-duplicate group: the one with the smallest doc_id.
 
     Rows without words stay; of rows that repeat the kept doc_id one stays; rows with a null
-    doc_id that are linked with nothing stay.
+    doc_id that are linked with nothing stay. An empty table gives an empty one. Columns pass
+    whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     judged = scratch.table(_near_duplicates(docs, width, percent), "judged")
     gone = judged.filter("n_shingles > 0 and not kept and component_id is not null").select("dk").distinct()
-    again = judged.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = judged.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component_id").alias("doc_id"))
     gone = scratch.table(gone, "gone")
-    columns = docs.columns
-    keyed = docs.withColumn("_dk", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
-    maybe, surely = split_by(keyed, "_dk", gone, "dk")
-    out = maybe.join(gone.withColumnRenamed("dk", "_dk"), "_dk", "left_anti").unionByName(surely.select(*maybe.columns))
+    keyed = packed(docs, "doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("dk"))
+    maybe, surely = split_by(keyed, "dk", gone, "dk")
+    out = maybe.join(gone, "dk", "left_anti").unionByName(surely.select("dk", "row", "doc_id"), allowMissingColumns=False)
     if not again.isEmpty():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("_dk"))
-        twice = out.join(again.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
-        out = out.join(again.select(F.col("component_id").alias("doc_id")), "doc_id", "left_anti").select(*columns).unionByName(twice.select(*columns))
-    return out.select(*columns)
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("dk"))
+        twice = out.join(again, "doc_id", "left_semi").withColumn("first", first).filter("first = 1").select("row")
+        out = out.join(again, "doc_id", "left_anti").select("row").unionByName(twice)
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import time
 import uuid
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key is hot from this many rows on; only the HOT_KEYS heaviest of them are broadcast.
+#: A key is hot from this many rows on; only the HOT_KEYS heaviest of them are broadcast, so that
+#: no other key holds more than 1/HOT_KEYS of the rows.
 HOT_ROWS = 200
-HOT_KEYS = 256
+HOT_KEYS = 8192
 
 #: A task takes at least so many rows of a table whose size is known.
 TASK_ROWS = 100_000
@@ -26,18 +28,42 @@ RECLAIM_S = 1.0
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is unset (as in tests), a folder below the warehouse serves.
+    Where the setting is unset, a local master (as in tests) gets a folder below its warehouse; a
+    cluster is refused, as its executors would not see each other's files there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/assaylake-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Scratch folders of this driver, which results may still be read from.
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes all scratch folders of this driver; results that were not written are gone then."""
+    while _ROOTS:
+        spark, root = _ROOTS.pop()
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, root)
+
+
 class Scratch:
     """Written tables of one operator call; each cuts the lineage and outlives lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = shared_dir(spark)
+        _ROOTS.append((spark, self.root))
         self._n = 0
         self._paths: dict[int, tuple[str, DataFrame]] = {}
 
@@ -63,8 +89,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df))[0])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self._paths.pop(id(df))[0])
 
 
 def join_unique(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
@@ -72,6 +97,7 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, count: str, how: str
 
     The rows of the HOT_KEYS heaviest keys meet their match by a broadcast of at most HOT_KEYS
     rows; the others, none of which can hold more than 1/HOT_KEYS of the rows, are shuffled.
+    ``how`` may be left too: cold rows without a match stay.
     ``small`` is read twice and should be a written table.
     """
     hot = small.filter(F.col(count) >= HOT_ROWS).orderBy(F.col(count).desc(), F.col(key)).limit(HOT_KEYS)
@@ -135,3 +161,8 @@ def split_by(big: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[Dat
     out = big.withColumn("_slot", slot).join(F.broadcast(bits), "_slot", "left")
     held = F.coalesce(F.col("_bits").bitwiseAND(bit) == bit, F.lit(False))
     return out.filter(held).drop("_slot", "_bits"), out.filter(~held).drop("_slot", "_bits")
+
+
+def packed(df: DataFrame, *more) -> DataFrame:
+    """``df`` as one struct column ``row`` beside ``more``, so that no column of the user's clashes."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *more)
