@@ -5,6 +5,9 @@ neighbouring chunks are spliced at a common boundary: a place in their overlap w
 start a token and where the text proves that no token, no normalised character and no special
 string can cross it. Where the overlap has no such place it is widened, at worst to the rest of the
 text, so that counts equal those of the whole text in every case.
+
+Shorter texts are cut at all such places; the tokens of the pieces, most of them single words that
+recur, add up to those of the text and are remembered by each worker, within MEMO_BYTES.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +30,10 @@ TOKENIZER = "word_bpe_49k.json"
 #: White space, then a plain ASCII character: the tokenizer drops the one and starts anew at the
 #: other; neither composes with its neighbours under NFC, and special strings hold no white space.
 _PROVEN = re.compile(r"[ \n\t\r](?=[!-~])")
-#: Bytes of text that one call to the library gets.
-_CALL_BYTES = 4_000_000
+#: Characters of text that one call to the library gets.
+_CALL_CHARS = 4_000_000
+#: Characters of the pieces whose counts a worker remembers; longer pieces are counted anew each time.
+MEMO_CHARS, MEMO_PIECE = 8_000_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -50,60 +54,98 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-def _starts(tokenizer, text: str, base: int) -> np.ndarray:
-    """Where the tokens of ``text`` start in the whole text; tokens of one character share a start."""
-    return np.array([x for x, _ in tokenizer.encode(text, add_special_tokens=False).offsets], dtype=np.int64) + base
+class _Chunk:
+    """The encoding of text[begin:end], asked by places in the whole text."""
+
+    def __init__(self, tokenizer, text: str, begin: int, end: int):
+        self.begin, self.end = begin, end
+        self.encoding = tokenizer.encode(text[begin:end], add_special_tokens=False)
 
+    def token_at(self, place: int) -> int | None:
+        """The number of the token that starts at a place; None if none does."""
+        i = self.encoding.char_to_token(place - self.begin)
+        return i if i is not None and self.encoding.token_to_chars(i)[0] == place - self.begin else None
 
-def splice(left: np.ndarray, right: np.ndarray, text: str, begin: int, end: int) -> int | None:
-    """The last common boundary of two encodings in text[begin:end], proven stable; None without one.
+
+def splice(left: _Chunk, right: _Chunk, text: str) -> tuple[int, int, int] | None:
+    """The last common boundary of two chunks, proven stable, with the token that starts there in each; None without one.
 
     Both must start a token at the place, and each place must follow white space and be ASCII.
     The first boundary's left neighbour and the last one's right neighbour lie in both chunks.
     """
-    places = np.array([m.end() for m in _PROVEN.finditer(text, begin, end)], dtype=np.int64)
-    places = places[np.isin(places, left) & np.isin(places, right)]
-    return int(places[-1]) if len(places) else None
+    for place in reversed([m.end() for m in _PROVEN.finditer(text, right.begin, left.end)]):
+        i, j = left.token_at(place), right.token_at(place)
+        if i is not None and j is not None:
+            return place, i, j
+    return None
 
 
 def count_chunked(tokenizer, text: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> int:
     """The number of tokens of ``text``, encoded at most about ``chunk_chars`` at a time."""
-    total, at = 0, 0
-    end = min(len(text), chunk_chars)
-    left = _starts(tokenizer, text[:end], 0)
-    while end < len(text):
+    total, at, first = 0, 0, 0
+    left = _Chunk(tokenizer, text, 0, min(len(text), chunk_chars))
+    while left.end < len(text):
         overlap, cut = min(overlap_chars, chunk_chars // 2), None
         while cut is None:
-            begin = max(at, end - overlap)
-            # A right chunk that would begin where the left one did is the left one, prolonged.
-            until = min(len(text), begin + chunk_chars if begin > at else end + max(chunk_chars, end - at))
-            right = _starts(tokenizer, text[begin:until], begin)
-            if begin == at:
-                cut = at
-            else:
-                cut = splice(left, right, text, begin, end)
-                overlap *= 2
-        total += int(np.count_nonzero(left < cut))
-        left, at, end = right[right >= cut], cut, until
-    return total + len(left)
-
-
-def count_batch(tokenizer, texts: list[str], chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> list[int]:
+            begin = max(at, left.end - overlap)
+            # A right chunk that would begin where the left one counts from is the left one, prolonged.
+            until = min(len(text), begin + chunk_chars if begin > at else left.end + max(chunk_chars, left.end - at))
+            right = _Chunk(tokenizer, text, begin, until)
+            cut = (at, first, 0) if begin == at else splice(left, right, text)
+            overlap *= 2
+        total += cut[1] - first
+        left, at, first = right, cut[0], cut[2]
+    return total + len(left.encoding) - first
+
+
+class Memo:
+    """Numbers of tokens of pieces of text; forgets all of them when they exceed MEMO_CHARS characters."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known, self.chars = tokenizer, {}, 0
+
+    def count(self, pieces: set[str]) -> dict[str, int]:
+        """The numbers of tokens of some pieces, at least."""
+        new = [p for p in pieces if p not in self.known]
+        if self.chars + sum(map(len, new)) > MEMO_CHARS:
+            self.known, self.chars, new = {}, 0, list(pieces)
+        found = {}
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            found |= zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
+        out = self.known
+        if self.chars + sum(map(len, new)) <= MEMO_CHARS:
+            self.known |= found
+            self.chars += sum(map(len, new))
+            return self.known
+        return out | found
+
+
+@lru_cache(maxsize=2)
+def memo(path: str) -> Memo:
+    return Memo(load(path))
+
+
+def count_batch(memo: Memo, texts: list[str], chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> list[int]:
     out = [0] * len(texts)
-    group: list[int] = []
+    group: list[tuple[int, list[str]]] = []
     size = 0
 
     def flush() -> None:
-        for i, e in zip(group, tokenizer.encode_batch_fast([texts[i] for i in group], add_special_tokens=False), strict=True):
-            out[i] = len(e)
+        short = {p for _, pieces in group for p in pieces if len(p) <= MEMO_PIECE}
+        known = memo.count(short)
+        rest = [p for _, pieces in group for p in pieces if len(p) > MEMO_PIECE]
+        rest = iter(memo.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
+        for i, pieces in group:
+            out[i] = sum(known[p] if len(p) <= MEMO_PIECE else len(next(rest)) for p in pieces)
 
     for i, text in enumerate(texts):
         if len(text) > chunk_chars:
-            out[i] = count_chunked(tokenizer, text, chunk_chars, overlap_chars)
+            out[i] = count_chunked(memo.tokenizer, text, chunk_chars, overlap_chars)
             continue
-        group.append(i)
+        group.append((i, _PROVEN.split(text)))
         size += len(text)
-        if size > _CALL_BYTES:
+        if size > _CALL_CHARS:
             flush()
             group, size = [], 0
     flush()
@@ -121,10 +163,10 @@ def count_tokens(
     path = tokenizer_file or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        counts = memo(path)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            n = pa.array(count_batch(tokenizer, texts, chunk_chars, overlap_chars), pa.int64())
+            n = pa.array(count_batch(counts, texts, chunk_chars, overlap_chars), pa.int64())
             size = pa.array([len(x.encode()) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

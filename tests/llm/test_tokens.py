@@ -30,3 +30,16 @@ def test_rows(spark, docs):
     want = sorted(((r.doc_id, len((r.text or "").encode()), whole(t, r.text or ""), whole(t, r.text or "") > 2048) for r in d.collect()), key=str)
     assert got == want
     assert tokens.count_tokens(d.limit(0)).count() == 0
+
+
+def test_remembered_pieces_add_up(monkeypatch):
+    t = tokens.load(tokens.tokenizer_path())
+    rng = random.Random(4)
+    pieces = ["the ", "Straße ", "don't ", "1234", "\n\n", "é ", "́x", "😀", "<|endoftext|>", " <|startoftext|> ", "...", "\x0b", " ", "  ", "'s", "日本語", "ﬁ ", "İ ", "a" * 70]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(80))) for _ in range(300)]
+    want = [whole(t, x) for x in texts]
+    for most in (0, 300, 10**6):
+        monkeypatch.setattr(tokens, "MEMO_CHARS", most)
+        memo = tokens.Memo(t)
+        assert tokens.count_batch(memo, texts) == want and tokens.count_batch(memo, texts, 64, 8) == want
+        assert memo.chars <= most and memo.chars == sum(map(len, memo.known))
