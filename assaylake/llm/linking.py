@@ -4,7 +4,8 @@ Native DataFrame operations only. Items meet in buckets (names that they share).
 compares its members with its smallest and its largest one, which are all pairs of a bucket of up
 to three; components over the confirmed links then show which buckets still hold members of
 different components. Only these look at pairs across components, outside the bucket's largest
-component, in tiles of bounded size that give the pairs whose sketches allow a link and no others.
+component, in tiles of bounded size. Sizes and sketches tell which pairs can be links at all; no
+others are made.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, join_unique, maybe_in
+from .shared import Scratch, join_salted, join_unique, maybe_in
 
 #: Members of a bucket on each side of a tile.
 TILE_ROWS = 1024
@@ -55,13 +56,16 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
 
 
 def shared_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``members`` (key, id, ...) whose bucket holds n > 1 of them, with n.
+    """The distinct rows of ``members`` (key, id, ...) whose bucket holds several ids, with n, their number.
 
-    Buckets are counted by name alone, and a bitmap of the shared ones keeps most others from
-    being shuffled with their items.
+    Rows that repeat an id are alike. Buckets are looked at by name alone, and a bitmap of the
+    shared ones keeps most others from being shuffled with their items.
     """
-    shared = scratch.table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-keys")
-    out = scratch.table(join_unique(maybe_in(members, "key", shared, "key"), shared, "key", "n", "inner"), "shared")
+    some = F.xxhash64("id").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    ends = members.groupBy("key").agg(F.min(some).alias("low"), F.max(some).alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = scratch.table(ends.filter("low <> high").select("key", "n"), "shared-keys")
+    rows = maybe_in(members, "key", shared, "key").distinct()
+    out = scratch.table(join_unique(rows, shared, "key", "n", "inner"), "shared")
     scratch.drop(shared)
     return out
 
@@ -115,15 +119,25 @@ def _cross_pairs(open_: DataFrame, sketches: DataFrame, may: Callable, near: Cal
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, near: Callable) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose sketches allow a link."""
+    own = lambda end: sketches.select(F.col("id").alias(end), F.struct("size", "sketch").alias(f"{end}_own"))
+    out = join_salted(join_salted(pairs, own("a"), "a", "b"), own("b"), "b", "a")
+    return out.filter(near(*(F.col(c) for c in ("a_own.size", "a_own.sketch", "b_own.size", "b_own.sketch")))).select("a", "b")
+
+
 def linked_components(members: DataFrame, verify: Callable, may: Callable, sketch: Callable, near: Callable, scratch: Scratch) -> DataFrame:
     """(id, component) of every item that is linked with another one.
 
     ``members`` has (key, id, size): an item's buckets and its size; ``verify`` takes pairs (a, b)
     with a > b and returns the linked ones. ``may`` tells from two sizes, ``near`` from sizes and
-    sketches whether items can be linked; ``sketch`` gives (id, sketch) of the ids it is asked for.
+    sketches whether items can be linked; ``sketch`` gives (id, size, sketch) of the ids it is asked for.
     """
     shared = shared_buckets(members, scratch)
-    seen = _star_pairs(shared, may, scratch)
+    sketches = scratch.table(sketch(shared.select("id").distinct()), "sketches")
+    star = _star_pairs(shared, may, scratch)
+    seen = scratch.table(_near_pairs(star, sketches, near), "near")
+    scratch.drop(star)
     edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = scratch.table(edges(verify(seen)), "links")
     found = components(links, scratch)
@@ -131,8 +145,8 @@ def linked_components(members: DataFrame, verify: Callable, may: Callable, sketc
     scratch.drop(shared)
     if open_.isEmpty():
         return found
-    sketches = scratch.table(sketch(open_.select("id").distinct()), "sketches")
-    pairs = scratch.table(_cross_pairs(open_, sketches, may, near).join(seen, ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.table(_cross_pairs(open_, sketches.drop("size"), may, near).join(seen, ["a", "b"], "left_anti"), "pairs")
     more = scratch.table(edges(verify(pairs)), "more")
     scratch.drop(open_, sketches)
-    return components(links.unionByName(more), scratch) if not more.isEmpty() else found
+    stars = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    return components(stars.unionByName(more), scratch) if not more.isEmpty() else found
