@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, line and near-duplicate filters, mixing and packing of ``documents``."""
+"""The corpus pipeline: quality, line and near-duplicate filters, mixing and packing of ``documents``.
+
+Every stage takes empty tables and gives empty ones, keeps rows that repeat unless its rule says
+otherwise, reads whole texts of any length, and passes extra columns whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,36 @@ from assaylake.llm.shared import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored like others; a null doc_id is never labelled, but scored.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents that lose their last word."""
+    """Repeated lines go; so do documents that lose their last word. Null and empty texts stay."""
     return lines.without_repeats(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; shingles have five words."""
-    return minhash.without_near_duplicates(docs, width=5)
+    """One document of each near-duplicate group stays: sets of two-word shingles, similar at 0.8 or more.
+
+    Rows without words stay; rows with a null doc_id stay if they are linked with nothing.
+    """
+    return minhash.without_near_duplicates(docs, width=2)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix draws them, repeats included."""
-    return mixing.mixed(docs).drop("mix_shard")
+    """Documents as the mix draws them, repeats included, shard by shard in the order of the shards' shuffle.
+
+    Rows without words are not taken; a null source is a source of its own.
+    """
+    return mixing.mixed(docs, shard_col=None)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each document's pieces in the packed sequences."""
+    """The place of each document's pieces in the packed sequences; rows without words have none."""
     return packing.pack_documents(docs)
 
 
