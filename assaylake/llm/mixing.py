@@ -4,8 +4,9 @@ Documents fall into blocks by a hash. A source's target is a number of whole pas
 and a part of one more, taken block by block in a permuted order; the first block that does not fit is
 opened, its documents being taken while they fit, and what they leave is filled from the opened and the
 later blocks until no document fits. The exact block quotas of all sources are split over the output
-shards down a binary tree with multivariate hypergeometric draws, each shard then takes its quota's
-next blocks of the permuted order, and shuffles its documents locally. Every draw is seeded by names.
+shards down a binary tree with multivariate hypergeometric draws; each shard takes its quota's next
+blocks of the permuted order, so that a document is taken as often as shards hold its block. A shard is
+gathered by one task, which shuffles its documents. Every draw is seeded by names.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, join_unique
+from .shared import WORD, Scratch, join_unique, packed
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_TIMES = 2
 BLOCK_DOCS = 32
 #: Blocks of a source at most; the opened block is cut into as many again.
-BLOCKS = 4096
-SHARD_WORDS = 2_000_000
+BLOCKS = 65_536
+#: Words of a shard, if it gets so many blocks at least; larger ones where there would be too many of them.
+SHARD_WORDS, SHARD_BLOCKS, SHARDS = 2_000_000, 16, 16_384
 #: Sources that one task splits over the shards; the driver splits the groups of them.
 GROUP = 1024
 SEED = 11
@@ -36,6 +38,26 @@ def _rng(*names) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(repr((SEED, *names)).encode()).digest()[:8], "little"))
 
 
+#: numpy's sampler takes counts below this.
+_NUMPY = 10**9
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator, numpy_below: int = _NUMPY) -> int:
+    """How many of ``n`` draws without replacement are good. Large counts go by inversion of the distribution,
+
+    summed over all values within 40 deviations of the mean, beyond which nothing is left in double precision.
+    """
+    if max(good, bad) < numpy_below:
+        return int(rng.hypergeometric(good, bad, n)) if good and n else 0
+    mean = n * good / (good + bad)
+    reach = 40 * math.sqrt(mean * (bad / (good + bad)) + 1) + 40
+    low, high = max(0, n - bad, math.floor(mean - reach)), min(n, good, math.ceil(mean + reach))
+    k = np.arange(low, high, dtype=np.float64)
+    log = np.concatenate([[0.0], np.cumsum(np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1))])
+    weight = np.cumsum(np.exp(log - log.max()))
+    return low + int(np.searchsorted(weight, rng.random() * weight[-1], side="right"))
+
+
 def draw(colours: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """Multivariate hypergeometric: how many of ``n`` draws without replacement have each colour."""
     out = np.zeros_like(colours)
@@ -44,10 +66,8 @@ def draw(colours: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
         if not n:
             break
         rest -= c
-        # numpy's sampler takes counts below 1e9; larger ones are split evenly.
-        take = int(rng.hypergeometric(c, rest, n)) if c and rest and max(c, rest) < 10**9 else min(c, n) if not rest else round(n * c / (c + rest))
-        out[i] = take
-        n -= take
+        out[i] = hypergeometric(c, rest, n, rng) if rest else n
+        n -= int(out[i])
     return out
 
 
@@ -164,21 +184,16 @@ class Mix:
         every = self.scratch.table(draws, "draws")
         draws, spare = every.filter("budget > -2"), every.filter("budget = -2").select("sk", "block", "place")
         self.draws = self.scratch.table(self._shards(draws, shard_words), "shards")
-        self.taken = self._taken(found)
-        opened = self.scratch.table(self._open(placed), "opened")
+        opened = self.scratch.table(self._open(placed, found), "opened")
         self.units = self._fill(placed, spare, opened)
         if self.units is not opened:
             # A later block that gives units is drawn by its source's last draw, in that draw's shard.
             last = self.draws.filter("budget >= 0").select("sk", "budget", "shard", F.col("block").alias("first"))
             later = self.units.select("sk", "block").distinct().join(last, "sk").join(spare, ["sk", "block"]).filter("block <> first")
             self.draws = self.scratch.table(self.draws.unionByName(later.select(*self.draws.columns)), "all-draws")
-            self.taken = self._taken(found)
-
-    def _taken(self, found: DataFrame) -> DataFrame:
-        """(sk, block, whole, budget, docs): whole passes, and the budget if the block is opened."""
-        whole = F.count_if(F.col("budget") < 0).alias("whole")
-        taken = self.draws.groupBy("sk", "block").agg(whole, F.max("budget").alias("budget"))
-        return self.scratch.table(taken.join(found.select("sk", "block", "docs"), ["sk", "block"]), "taken")
+        whole, part = F.when(F.col("budget") < 0, F.col("shard")), F.when(F.col("budget") >= 0, F.col("shard"))
+        held = self.draws.groupBy("sk", "block").agg(F.collect_list(whole).alias("full"), F.max(part).alias("rest"))
+        self.held = self.scratch.table(held, "held")
 
     def placed(self, sizes: DataFrame) -> DataFrame:
         """Rows with their source's key and their block and unit: rows alike in id and size are one unit."""
@@ -189,31 +204,37 @@ class Mix:
         return rows.withColumn("block", block).withColumn("unit", unit).drop("blocks")
 
     def _shards(self, draws: DataFrame, shard_words: int) -> DataFrame:
-        """Draws with their output shard."""
-        spark = draws.sparkSession
+        """Draws with the shard that the splitting tree gives them; (sk, shard, n) are its leaves."""
         n = draws.groupBy("sk").agg(F.count(F.lit(1)).alias("n")).join(self.sources.select("sk", "rank"), "sk")
         n = self.scratch.table(n.withColumn("grp", F.floor(F.col("rank") / GROUP).cast("int")), "quotas")
         groups = sorted((r.grp, r.n) for r in n.groupBy("grp").agg(F.sum("n").alias("n")).collect())
         words = self.sources.agg(F.sum("target")).first()[0] or 0
-        shards = max(1, math.ceil(words / shard_words))
         total = sum(x for _, x in groups)
+        shards = max(1, min(math.ceil(words / shard_words), total // SHARD_BLOCKS, SHARDS))
         leaves = np.full(shards, total // shards, dtype=np.int64)
         leaves[: total % shards] += 1
         top = split_tree(np.array([x for _, x in groups], dtype=np.int64), leaves, "groups")
-        top = spark.createDataFrame([(g, top[:, i].tolist()) for i, (g, _) in enumerate(groups)], "grp int, leaves array<long>")
+        own = {g: top[:, i] for i, (g, _) in enumerate(groups)}
 
         def split(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("rank")
-            got = split_tree(pdf["n"].to_numpy(), np.array(pdf["leaves"].iloc[0]), "group", int(pdf["grp"].iloc[0]))
-            return pd.DataFrame({"sk": pdf["sk"].to_numpy(), "ends": list(np.cumsum(got, axis=0).T)})
+            grp = int(pdf["grp"].iloc[0])
+            got = split_tree(pdf["n"].to_numpy(), own[grp], "group", grp)
+            shard, source = np.nonzero(got)
+            return pd.DataFrame({"sk": pdf["sk"].to_numpy()[source], "shard": shard.astype("int32"), "n": got[shard, source]})
 
-        ends = n.join(top, "grp").groupBy("grp").applyInPandas(split, "sk string, ends array<long>")
-        shard = F.size(F.filter("ends", lambda e: e <= F.col("place")))
-        return draws.join(ends, "sk").withColumn("shard", shard).drop("ends")
+        self.leaves = self.scratch.table(n.groupBy("grp").applyInPandas(split, "sk string, shard int, n long"), "leaves")
 
-    def _open(self, placed: DataFrame) -> DataFrame:
+        def deal(draws: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+            draws, leaves = draws.sort_values("place"), leaves.sort_values("shard")
+            return draws.assign(shard=np.repeat(leaves["shard"].to_numpy(), leaves["n"].to_numpy()))
+
+        dealt = draws.groupBy("sk").cogroup(self.leaves.groupBy("sk")).applyInPandas(deal, "sk string, block int, place long, budget long, shard int")
+        return dealt
+
+    def _open(self, placed: DataFrame, found: DataFrame) -> DataFrame:
         """(sk, block, unit, words) that the opened blocks give; a block of many documents is cut again first."""
-        opened = self.taken.filter("budget >= 0").select("sk", "block", "budget", "docs")
+        opened = self.draws.filter("budget >= 0").select("sk", "block", "budget").join(found.select("sk", "block", "docs"), ["sk", "block"])
         units = placed.select("sk", "block", "unit", "size").join(opened, ["sk", "block"])
         cuts = F.least(F.ceil(F.col("docs") / (4 * BLOCK_DOCS)), F.lit(BLOCKS))
         units = units.withColumn("h", F.xxhash64(F.lit(self.seed + 1), "unit")).withColumn("cut", F.pmod("h", cuts).cast("int"))
@@ -264,37 +285,45 @@ class Mix:
         return self.scratch.table(units.unionByName(more.select("sk", "m.block", "m.unit", "m.words")), "filled")
 
     def copies(self, placed: DataFrame) -> DataFrame:
-        """``placed`` with ``whole``, the passes that take the row's block, and ``part``, whether an opened block gives it."""
-        rows = placed.join(self.taken.select("sk", "block", "whole"), ["sk", "block"], "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
-        return rows.join(self.units.withColumn("part", F.lit(1)), ["sk", "block", "unit"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+        """``placed`` with ``shards``, a shard for each copy that the mix takes of the row, in order.
+
+        ``whole`` is the number of passes that take the row's block, ``part`` whether an opened block gives it.
+        """
+        rows = placed.join(self.held, ["sk", "block"], "left")
+        rows = rows.join(self.units.select("sk", "block", "unit", F.lit(1).alias("part")), ["sk", "block", "unit"], "left")
+        none = F.array().cast("array<int>")
+        full, part = F.coalesce("full", none), F.coalesce("part", F.lit(0))
+        shards = F.sort_array(F.concat(full, F.when(part > 0, F.array("rest")).otherwise(none)))
+        return rows.withColumns({"shards": shards, "whole": F.size(full), "part": part}).drop("full", "rest")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``.
+    """doc_id, size, source_size, target, taken, shards of every row of ``docs``.
 
-    Null and empty texts have size 0 and are taken in name only; null sources are one source, the
-    last; rows that repeat a doc_id and size within a source are taken together. A source without
-    words has target 0. Other columns are not read.
+    ``shards`` names the output shard of each copy that the mix takes; taken is the size of all of
+    them. Null and empty texts have size 0 and are taken in name only; null sources are one source,
+    the last; rows that repeat a doc_id and size within a source are taken together. A source
+    without words has target 0. An empty table gives an empty one. Other columns are not read.
     """
     mix = Mix(docs)
     out = mix.copies(mix.placed(mix.sizes))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("part"))).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+
 
+def mixed(docs: DataFrame, shard_col: str | None = "mix_shard") -> DataFrame:
+    """``docs`` as the mix draws them, a row for each copy, each shard gathered in one task and shuffled there.
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix draws them, a row for each copy, with ``mix_shard``, shuffled within each task's part of it."""
+    ``shard_col`` names the column of the shard, which is appended and replaces one of that name;
+    None leaves it out, the rows keep their order. Nulls, repeats and empty tables as in
+    ``mix_report``; all other columns pass whatever their names.
+    """
     mix = Mix(docs)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0))
-    held = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
-    rows = mix.copies(mix.placed(held))
-    open_ = mix.draws.groupBy("sk", "block").agg(F.collect_list(F.when(F.col("budget") < 0, F.col("shard"))).alias("full"), F.max(F.when(F.col("budget") >= 0, F.col("shard"))).alias("rest"))
-    shards = F.concat("full", F.when(F.col("part") > 0, F.array("rest")).otherwise(F.array().cast("array<int>")))
-    rows = rows.filter("whole + part > 0").select("sk", "block", "part", "row").join(open_, ["sk", "block"])
-    rows = rows.select(F.posexplode(shards).alias("copy", "mix_shard"), "row")
-    order = F.xxhash64(F.lit(SEED + 2), "mix_shard", "row.doc_id", "copy")
-    # Blocks are spread over the tasks by hash; each task shuffles its part of each shard, and a writer
-    # partitioned by mix_shard needs no further exchange of texts.
-    return rows.sortWithinPartitions("mix_shard", order).select("row.*", "mix_shard")
+    held = packed(docs.drop(shard_col) if shard_col else docs, "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = mix.copies(mix.placed(held)).select(F.posexplode("shards").alias("copy", "shard"), "doc_id", "row")
+    order = F.xxhash64(F.lit(SEED + 2), "shard", "doc_id", "copy")
+    rows = rows.repartition("shard").sortWithinPartitions("shard", order)
+    return rows.select("row.*", *([F.col("shard").alias(shard_col)] if shard_col else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

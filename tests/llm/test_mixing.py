@@ -96,3 +96,41 @@ def test_small_source_with_one_very_long_document(spark, docs):
             assert r.times <= 2
         # No document that was left out, or taken once less, would come nearer.
         assert all(abs(took[s] - target[s]) <= 225 for s in took), (seed, took, target)
+
+
+def test_shards_hold_their_quotas(spark, docs):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 60), rng.choice("aaab") + str(i % 3)) for i in range(4000)]
+    mix = mixing.Mix(docs(*rows), shard_words=20_000)
+    leaves, draws = mix.leaves.collect(), mix.draws.collect()
+    shards = {r.shard for r in leaves}
+    assert len(shards) > 3
+    quota, got = defaultdict(int), defaultdict(int)
+    for r in leaves:
+        quota[r.sk, r.shard] += r.n
+    opened = {}
+    for r in draws:
+        if r.budget >= 0:
+            opened[r.sk] = min(opened.get(r.sk, r.place), r.place)
+    # Later blocks that fill a gap belong to their source's last draw.
+    for r in draws:
+        if r.budget < 0 or r.place == opened[r.sk]:
+            got[r.sk, r.shard] += 1
+    total = defaultdict(int)
+    for (_, s), n in quota.items():
+        total[s] += n
+    assert max(total.values()) - min(total.values()) <= 1
+    assert got == quota
+    drawn = [(r.sk, r.block, r.place) for r in draws]
+    assert len(drawn) == len(set(drawn))
+
+
+def test_large_hypergeometric_draws():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((40, 60, 30), (5, 1000, 700), (300, 4, 100)):
+        a = [mixing.hypergeometric(good, bad, n, rng, numpy_below=0) for _ in range(4000)]
+        b = rng.hypergeometric(good, bad, n, 4000)
+        assert abs(np.mean(a) - b.mean()) < 0.15 * (b.std() + 0.1) and abs(np.std(a) - b.std()) < 0.15 * (b.std() + 0.1)
+        assert min(a) >= max(0, n - bad) and max(a) <= min(good, n)
+    x = mixing.draw(np.array([3 * 10**9, 10**9, 5]), 2 * 10**9, rng)
+    assert x.sum() == 2 * 10**9 and abs(x[0] - 1.5e9) < 1e6
