@@ -77,7 +77,7 @@ def supports_value(c: Column, value: Column, rel: float = 1e-8, abs_tol: float =
 
 
 def number_key(c: Column) -> Column:
-    """A number's key to 12 significant digits, without trailing zeros."""
+    """A number's key: 12 significant digits in scientific notation, the same for equal numbers."""
     return F.format_string("%.11e", c)
 
 

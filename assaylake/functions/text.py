@@ -121,27 +121,31 @@ def chart_title(chart_type: Column, x: Column, y: Column, z: Column) -> Column:
     )
 
 
-#: Patterns of secrets in log text, in the order they are applied.
+#: Patterns of secrets in log text with what replaces them, in the order they are
+#: applied. A bearer credential goes first, so that no named field can take the word and leave the token.
 SECRET_PATTERNS = (
-    (r"(?i)(authorization\s*[:=]\s*(?:bearer\s+)?)[^\s,;]+", "$1[REDACTED]"),
-    (r"(?i)((?:api[_-]?key|token|secret|password)\s*[:=]\s*)[^\s,;]+", "$1[REDACTED]"),
-    (r"\b(?:sk|AIza)[A-Za-z0-9_\-]{12,}", "[REDACTED]"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
+    (r"(?i)(api[_ -]?key|authorization|credential|access[_ -]?token|refresh[_ -]?token|token|secret)(\s*[=:]\s*)([^\s,;'\"}]+)", "$1$2[REDACTED]"),
+    (r"\bAIza[0-9A-Za-z_-]{20,}\b", "[REDACTED_GOOGLE_API_KEY]"),
 )
 
 
 def redact(c: Column) -> Column:
+    """Text without bearer credentials, values of named secrets and API keys."""
     for pattern, by in SECRET_PATTERNS:
         c = F.regexp_replace(c, pattern, by)
     return c
 
 
 def safe_identifier(c: Column) -> Column:
-    return F.when(c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,159}$"), c)
+    """An identifier of at most 128 plain characters that is no absolute or climbing path; else null."""
+    return F.when(c.rlike(r"\A[A-Za-z0-9._-][A-Za-z0-9._/-]{0,127}\z") & ~F.contains(c, F.lit("..")), c)
 
 
 def doi(c: Column) -> Column:
-    found = F.regexp_extract(c, r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1)
-    return F.nullif(F.regexp_replace(found, r"[.,;)]+$", ""), F.lit(""))
+    """The first DOI in a text, without closing punctuation; null if there is none."""
+    found = F.regexp_extract(c, r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1)
+    return F.nullif(F.regexp_replace(found, r"[.,);\]]+$", ""), F.lit(""))
 
 
 def http_url(c: Column) -> Column:
@@ -177,8 +181,11 @@ def header_unit(c: Column) -> Column:
 
 
 def looks_like_prose(c: Column) -> Column:
-    words = F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    return (words >= 12) & c.rlike(r"[.;:]") & (F.regexp_count(c, F.lit(r"\d")) * 4 < F.length(c))
+    """Eight words or more that end like a sentence, with letters well ahead of digits."""
+    flat = collapse(c)
+    letters, digits = F.regexp_count(flat, F.lit(r"\p{L}")), F.regexp_count(flat, F.lit(r"\p{Nd}"))
+    ends = flat.rlike(r"[.:;]\z")
+    return F.coalesce((F.size(F.split(flat, " ")) >= 8) & ends & (letters > F.greatest(F.lit(12), 2 * digits)), F.lit(False))
 
 
 def strip_fence(c: Column) -> Column:

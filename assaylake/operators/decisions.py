@@ -292,13 +292,14 @@ def catalysis(origins: tuple[str, ...] = ("native_text", "table_reported", "ocr_
     empty = lambda x: F.length(F.coalesce(c(x), F.lit(""))) == 0
     basis = F.coalesce(c("normalization_kind"), F.lit("unknown"))
     origin = lambda e: F.coalesce(e["original_source_type"], e["source_type"])
+    estimated = lambda e: F.coalesce(origin(e) == "figure_digitized", F.lit(False)) | F.coalesce(e["estimated"], F.lit(False))
     number = F.exists("evidence", lambda e: F.coalesce(e["verbatim_match"], F.lit(False)) & N.supports_value(e["text_snippet"], c("value"), 1e-9))
     return O.ladder([
         (c("scope_status") != "supported", "unsupported_v1_subtype"), (c("ownership") != "focal_work", F.concat(F.lit("ownership_"), c("ownership"))), (c("derived"), "derived_value_not_reported"), (c("unresolved_conflict"), "condition_conflict"),
         (c("semantic_invalid"), "schema_invalid"), (c("property").isin(*PERCENT_PROPERTIES) & (c("unit") == "%") & (c("value") > 100 + 1e-6), "schema_invalid"), (c("property").isin(*PRODUCT_SPECIFIC) & empty("product"), "missing_product"),
         ((c("property") == "conversion") & empty("reactant"), "schema_invalid"), (c("property").isin(*NORMALIZATION_REQUIRED) & (basis == "unknown"), "normalization_basis_unknown"),
         ((c("property") == "turnover_frequency") & (basis != "site_count"), "incompatible_unit_basis"), ((c("potential_reference") == "unknown") | (c("property").isin(*REFERENCE_REQUIRED) & c("potential_reference").isNull()), "missing_potential_reference"),
-        (F.exists("evidence", lambda e: origin(e) == "figure_digitized"), "estimated_digitized"), (F.exists("evidence", lambda e: ~F.coalesce(origin(e).isin(*origins), F.lit(False))), "unsupported_visual_origin"),
+        (F.exists("evidence", estimated), "estimated_digitized"), (F.exists("evidence", lambda e: ~F.coalesce(origin(e).isin(*origins), F.lit(False))), "unsupported_visual_origin"),
         (~(value_supported(c("evidence"), c("raw_value")) | F.coalesce(number, F.lit(False))), "no_value_specific_evidence"),
     ])
 

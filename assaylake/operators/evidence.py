@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from . import frames as O
 
-_WINDOW = 3
-
-
-def _windows(words: Column, first: int, drop: int) -> Column:
-    """Hashes of all runs of three words, leaving ``drop`` words out at the end."""
-    last = F.size(words) - drop - _WINDOW
-    return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, _WINDOW), " "))))
+def _runs(text: Column) -> Column:
+    """(size, key) of all runs of three words of a text: their characters, and their hash."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    two = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.struct((F.length(a) + F.length(b)).alias("n"), F.xxhash64(a, b).alias("h")))
+    three = F.zip_with(two, F.slice(words, 3, F.size(words)), lambda p, c: F.struct((p["n"] + F.length(c)).alias("size"), F.xxhash64(p["h"], c).alias("key")))
+    return F.when(F.size(words) >= 3, F.slice(three, 1, F.size(words) - 2))
 
 
 def contained(snippets: DataFrame, texts: DataFrame, snippet_id: str, text_id: str) -> DataFrame:
     """(snippet id, text id) of the texts that hold a snippet, case aside.
 
-    A snippet's inner words are whole words of a text that holds it, so one of its inner windows of
-    three words is an equality key. Snippets of fewer than five words have none; they are few or
-    none, and are compared with every text.
+    A snippet's inner words are whole words of a text that holds it, so its inner run of three words
+    with most characters is an equality key. Texts give their runs' keys and ids alone; their bodies
+    meet only the snippets that share one. Snippets of fewer than five words have no key; they are
+    few or none, and are compared with every text.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    s = snippets.select(F.col(snippet_id).alias("sid"), F.lower("text").alias("snippet"), F.array_min(_windows(words(F.col("text")), 1, 1)).alias("key"))
-    t = texts.select(F.col(text_id).alias("tid"), F.lower("text").alias("body"), F.explode(F.array_distinct(_windows(words(F.col("text")), 0, 0))).alias("key"))
-    keyed = s.filter("key is not null").join(t, "key").filter(F.contains("body", F.col("snippet"))).select("sid", "tid")
+    inner = lambda runs: F.when(F.size(runs) > 2, F.slice(runs, 2, F.size(runs) - 2))
+    s = snippets.select(F.col(snippet_id).alias("sid"), F.lower("text").alias("snippet"), F.array_max(inner(_runs(F.col("text"))))["key"].alias("key"))
+    bodies = texts.select(F.col(text_id).alias("tid"), F.lower("text").alias("body"))
+    keys = texts.select(F.col(text_id).alias("tid"), F.explode(F.array_distinct(_runs(F.col("text"))["key"])).alias("key"))
+    near = keys.join(s.select("sid", "key").filter("key is not null"), "key").select("sid", "tid")
+    out = bodies.join(near, "tid").join(s.drop("key"), "sid").filter(F.contains("body", F.col("snippet"))).select("sid", "tid")
     short = s.filter("key is null").select("sid", "snippet")
     if not short.isEmpty():
-        whole = texts.select(F.col(text_id).alias("tid"), F.lower("text").alias("body"))
-        keyed = keyed.unionByName(short.join(whole, F.contains("body", F.col("snippet"))).select("sid", "tid"))
-    return keyed.select(F.col("sid").alias(snippet_id), F.col("tid").alias(text_id))
+        out = out.unionByName(short.join(bodies, F.contains("body", F.col("snippet"))).select("sid", "tid"))
+    return out.select(F.col("sid").alias(snippet_id), F.col("tid").alias(text_id))
 
 
 def verify_snippets(evidence: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: Property and unit family. The first word of a mechanical entry is its topic.
+#: Property and unit family.
 MECHANICAL = {
     "yield_strength": "stress", "proof_stress": "stress", "ultimate_tensile_strength": "stress", "fracture_strength": "stress", "tensile_strength": "stress",
     "elongation": "strain", "reduction_of_area": "strain", "youngs_modulus": "modulus", "poisson_ratio": "dimensionless", "applied_load": "force", "stress": "stress", "strain": "strain",

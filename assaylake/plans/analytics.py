@@ -323,11 +323,25 @@ SELECT event_id, user_id, day, CASE WHEN u <= 3 AND g <= 30 THEN true ELSE false
  row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY ts, event_id) AS u, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS g FROM events)""")
 def daily_quota_positions(t: Tables):
     """Requests within a user's and the day's quota, by position."""
-    day = F.to_date("ts")
-    rows = t.events.select("event_id", "user_id", "ts", day.alias("day"))
-    place = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("ts", "event_id"))
-    rows = rows.withColumn("u", place("day", "user_id")).withColumn("g", place("day"))
-    return rows.select("event_id", "user_id", "day", ((F.col("u") <= 3) & (F.col("g") <= 30)).alias("granted"))
+    day, order = F.to_date("ts").alias("day"), ["ts", "event_id"]
+    rows = t.events.select("event_id", "user_id", "ts", day)
+    place = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*order))
+    # A day's first 30 are among the first 30 of each of its parts, so no task sees a whole day.
+    part = F.pmod(F.xxhash64("event_id"), F.lit(64))
+    first = rows.withColumn("part", part).withColumn("g", place("day", "part")).filter("g <= 30").withColumn("g", place("day")).filter("g <= 30")
+    first = first.select("event_id", F.lit(True).alias("early"))
+    out = rows.withColumn("u", place("day", "user_id")).join(first, "event_id", "left")
+    return out.select("event_id", "user_id", "day", ((F.col("u") <= 3) & F.coalesce("early", F.lit(False))).alias("granted"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day FROM events), u AS (SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY ts, event_id) AS u FROM e),
+g AS (SELECT event_id, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS g FROM u WHERE u <= 3)
+SELECT e.event_id, e.user_id, e.day, coalesce(g.g <= 30, false) AS granted FROM e LEFT JOIN g USING (event_id)""")
+def quota_reservation(t: Tables):
+    """Requests within a user's and the day's quota; a refused request takes no place."""
+    rows = t.events.select(F.lit("extract").alias("action"), F.col("user_id").alias("owner_key"), F.col("event_id").alias("request_id"), F.col("ts").alias("at"))
+    return J.reserve_quota(rows, per_user=3, per_day=30).select(F.col("request_id").alias("event_id"), F.col("owner_key").alias("user_id"), "day", "granted")
 
 
 @query("""

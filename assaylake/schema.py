@@ -7,7 +7,7 @@ one domain; ``operators.silver`` turns a table of them into flat tables.
 from __future__ import annotations
 
 EVIDENCE = """struct<source_id string, page int, section string, source_type string, original_source_type string,
-    verbatim_match boolean, text_snippet string, table_id string, figure_id string, locator string, confidence double>"""
+    verbatim_match boolean, text_snippet string, table_id string, figure_id string, locator string, confidence double, estimated boolean>"""
 
 MEASUREMENT = f"""struct<property string, raw_value string, value variant, unit string, normalized_value variant,
     normalized_unit string, uncertainty double, uncertainty_unit string, qualifier string, method string,

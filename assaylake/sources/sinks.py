@@ -19,7 +19,7 @@ def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, bom:
     out = A.csv_ready(rows, columns)
     if bom:
         out = out.withColumnRenamed(columns[0], "﻿" + columns[0])
-    out.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
 
 
 def bundle(archives: DataFrame, include_quarantined: bool = False) -> dict[str, DataFrame]:

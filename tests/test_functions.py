@@ -19,7 +19,7 @@ def test_text_keys(spark):
     assert values(spark, text.http_url, "https://a.b/c", "ftp://a.b", "x", None) == ["https://a.b/c", None, None, None]
     assert values(spark, text.sentences, "One. Two!\nThree") == [["One.", "Two!", "Three"]]
     assert values(spark, text.strip_fence, "```json\n{}\n```", "plain") == ["{}", "plain"]
-    assert values(spark, text.redact, "api_key=abc123 x", "authorization: bearer zzz") == ["api_key=[REDACTED] x", "authorization: bearer [REDACTED]"]
+    assert values(spark, text.redact, "api_key=abc123 x", "authorization: bearer zzz") == ["api_key=[REDACTED] x", "authorization: [REDACTED] [REDACTED]"]
     assert values(spark, lambda c: text.term_count(c, "eis"), "eis, EIS weis".lower(), "x") == [2, 0]
     assert values(spark, lambda c: text.term_score(c), 0, 1, 3, 50, kind="int") == [0.0, 1.0, 1.5, 2.0]
     assert values(spark, text.ocr_clean, "a\u0007b  c\n d ") == ["ab c\nd"]
@@ -57,3 +57,17 @@ def test_identity(spark):
     t = spark.createDataFrame([("a", None), ("a", ""), ("b", "c")], "x string, y string")
     ids = [r[0] for r in t.select(identity.stable_id("p", F.col("x"), F.col("y"))).collect()]
     assert ids[0] == ids[1] != ids[2] and all(i.startswith("p-") and len(i) == 18 for i in ids)
+
+
+def test_bare_credentials_are_redacted(spark):
+    key = "AIza" + "b" * 24
+    assert values(spark, text.redact, "got Bearer abc.def-1 back", f"see {key} there", "token: 'x'") == ["got Bearer [REDACTED] back", "see [REDACTED_GOOGLE_API_KEY] there", "token: 'x'"]
+
+
+def test_safe_identifiers(spark):
+    assert values(spark, text.safe_identifier, "a/b-1.csv", "/etc/x", "a/../b", "a:b", "a" * 128, "a" * 129, "a b", "", "x\n") == ["a/b-1.csv", None, None, None, "a" * 128, None, None, None, None]
+
+
+def test_dois_and_prose(spark):
+    assert values(spark, text.doi, "doi:10.1234/ab.c(1)).", "10.12/x", "see 10.5555/x;") == ["10.1234/ab.c(1", None, "10.5555/x"]
+    assert values(spark, text.looks_like_prose, "one two three four five six seven eight.", "one two three four five six seven eight", "1 2 3 4 5 6 7 8 abcdefghijklmn.", "short text.", None) == [True, False, False, False, False]
