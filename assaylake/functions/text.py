@@ -155,7 +155,7 @@ def http_url(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda s: F.length(s) > 0)
 
 
 def term_count(text: Column, term: str) -> Column:

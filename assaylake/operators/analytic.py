@@ -124,7 +124,7 @@ def lineage(archives: DataFrame) -> DataFrame:
     puts = steps.select("archive_id", F.explode("p.outputs").alias("material_id"), F.col("p.process_id").alias("process_id")).join(known, ["archive_id", "material_id"], "left_semi")
     edges = edges.unionByName(puts).distinct()
     values = steps.select("archive_id", F.col("p.process_id").alias("process_id"), F.coalesce("p.sequence_index", F.lit(0)).alias("at"), F.explode("p.parameters").alias("m")).filter(F.size("m.evidence") > 0)
-    unit = lambda v, u: F.trim(F.concat_ws(" ", _as_text(v), u))
+    unit = lambda v, u: F.nullif(F.trim(F.concat_ws(" ", _as_text(v), F.when(F.length(F.coalesce(_as_text(v), F.lit(""))) > 0, u))), F.lit(""))
     shown = F.coalesce(F.nullif(F.col("m.raw_value"), F.lit("")), unit(F.col("m.normalized_value"), F.col("m.normalized_unit")), unit(F.col("m.value"), F.col("m.unit")))
     rows = edges.join(values, ["archive_id", "process_id"]).select("archive_id", "material_id", F.col("m.property").alias("property"), shown.alias("shown")).filter("shown <> ''")
     got = O.scalar_or_conflict(rows, ["archive_id", "material_id", "property"], "shown")
@@ -193,7 +193,7 @@ def eligibility(rows: DataFrame, chart: str, x: Column | None, y: Column | None,
     rules += [(F.count_if(usable) == 0, "missing_numeric_axes"), (F.countDistinct(F.when(usable, unit)) > 1, "incompatible_value_units")]
     if chart in ("line", "scatter") and x is not None:
         rules.append(((F.count_if(usable) < 2) | (F.countDistinct(F.when(usable, x)) < 2), "insufficient_numeric_x_variation"))
-    if surface and None not in (x, y, z):
+    if surface and all(c is not None for c in (x, y, z)):
         least = 4 if chart == "contour" else 3
         at = lambda c: F.countDistinct(F.when(usable, c))
         rules.append(((F.count_if(usable) < least) | (at(F.struct(x, y)) < least) | (at(x) < 2) | (at(y) < 2), "insufficient_data_density"))

@@ -121,6 +121,9 @@ def all_results(archives: DataFrame, include_quarantined: bool = False, order: b
 _EVIDENCED = {"materials": "material_id", "processes": "process_id", "experiments": "experiment_id", "calculations": "calculation_id", "relationships": "relation_id"}
 
 
+_EVIDENCE_FIELDS = ("source_id", "page", "section", "source_type", "original_source_type", "verbatim_match", "text_snippet", "table_id", "figure_id", "locator", "confidence")
+
+
 def evidence_rows(archives: DataFrame) -> DataFrame:
     """Each evidence item with the record that it supports."""
     out = [
@@ -131,7 +134,7 @@ def evidence_rows(archives: DataFrame) -> DataFrame:
     out.append(m.select("archive_id", F.lit("measurement").alias("linked_record_type"), F.concat_ws(":", "parent_id", "measurement_role", F.col("ordinal").cast("string")).alias("linked_record_id"), F.col("m.evidence").alias("ev")).select("archive_id", "linked_record_type", "linked_record_id", F.posexplode("ev").alias("ordinal", "e")))
     rows = _union(out)
     strength = semantics(F.col("e"))
-    return rows.select(export_id("ev", F.col("linked_record_id"), F.col("ordinal").cast("string"), F.to_json("e")).alias("evidence_id"), "archive_id", "linked_record_type", "linked_record_id", "e.*", strength["strength"].alias("evidence_strength"), strength["estimated"].alias("estimated"))
+    return rows.select(export_id("ev", F.col("linked_record_id"), F.col("ordinal").cast("string"), F.to_json("e")).alias("evidence_id"), "archive_id", "linked_record_type", "linked_record_id", *(f"e.{c}" for c in _EVIDENCE_FIELDS), strength["strength"].alias("evidence_strength"), strength["estimated"].alias("estimated"))
 
 
 def integrity_violations(archives: DataFrame) -> DataFrame:
@@ -248,7 +251,7 @@ SEARCH_FIELDS = ("material_names", "material_formulas", "metric", "reaction", "p
 
 
 def _tokens(c: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda t: t != "")
 
 
 def filter_results(rows: DataFrame, selected: dict[str, list[str]] | None = None, estimated: bool | None = None, text: str = "") -> DataFrame:

@@ -87,4 +87,4 @@ def semantics(e: Column) -> Column:
     origin = F.coalesce(e["original_source_type"], e["source_type"])
     verbatim = F.coalesce(e["verbatim_match"], F.lit(False))
     strength = F.when((origin == "ocr_extracted") & verbatim, "verified_ocr").when(origin == "figure_digitized", "estimated_digitized").when(verbatim, "verified_native").otherwise("unverified")
-    return F.struct(strength.alias("strength"), F.coalesce(origin == "figure_digitized", F.lit(False)).alias("estimated"))
+    return F.struct(strength.alias("strength"), (F.coalesce(origin == "figure_digitized", F.lit(False)) | F.coalesce(e["estimated"], F.lit(False))).alias("estimated"))

@@ -71,3 +71,7 @@ def test_safe_identifiers(spark):
 def test_dois_and_prose(spark):
     assert values(spark, text.doi, "doi:10.1234/ab.c(1)).", "10.12/x", "see 10.5555/x;") == ["10.1234/ab.c(1", None, "10.5555/x"]
     assert values(spark, text.looks_like_prose, "one two three four five six seven eight.", "one two three four five six seven eight", "1 2 3 4 5 6 7 8 abcdefghijklmn.", "short text.", None) == [True, False, False, False, False]
+
+
+def test_items_are_trimmed_of_blanks_only(spark):
+    assert values(spark, lambda c: F.concat_ws("|", text.sentences(c)), "0 at first. 1 then. 2 at last") == ["0 at first.|1 then.|2 at last"]
