@@ -77,7 +77,7 @@ class Scratch:
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
         began = time.monotonic()
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         if time.monotonic() - began > RECLAIM_S:
             # Shuffle files of earlier tables go when the driver collects the plans that made them.
             gc.collect()
