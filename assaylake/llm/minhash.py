@@ -215,7 +215,7 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None
 
 def set_links(docs: DataFrame, tiled: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): edges among the sets of each tile. ``tiled`` has (dk, id, tiles) for each set."""
-    held = maybe_in(_keyed(docs).select("dk", "text"), "dk", tiled, "dk").join(tiled, "dk", "inner").select("tiles", "id", "text")
+    held = maybe_in(_keyed(docs).select("dk", "text"), "dk", tiled, "dk").join(tiled.hint("shuffle_merge"), "dk", "inner").select("tiles", "id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
