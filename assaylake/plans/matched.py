@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import axes as G
 from ..functions import names as A
 from ..functions import text as X
 from ..operators import matching as M
@@ -180,3 +181,21 @@ def safety_counts(t: Tables):
     none = F.create_map(F.lit("graph_contamination"), F.array().cast("array<string>"))
     reported = listed.when(F.col("flag") == "A", none).otherwise(F.create_map(F.lit("other"), F.array(F.lit("a"))))
     return _lines(t).select("o", "n", S.first_of(["graph_contamination", "graph"], reported).alias("violations"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size WHEN 1 THEN -p_size WHEN 2 THEN 1.0 / p_size END AS value,
+ CASE WHEN p_size % 2 = 0 THEN 'charge_transfer_resistance' END AS property, CASE WHEN p_size % 2 = 0 THEN 'charge_transfer' ELSE 'unknown' END AS role FROM part WHERE p_size > 0""")
+def axis_values(t: Tables):
+    """Axis values as numbers, and terms of impedance tables."""
+    size = F.col("p_size")
+    raw = F.when(size % 4 == 0, F.concat("p_size", F.lit(" %"))).when(size % 4 == 1, F.concat(F.lit("−"), "p_size", F.lit(" °C"))).when(size % 4 == 2, F.concat(F.lit("C/"), "p_size")).otherwise(F.concat(F.lit("5 to "), "p_size"))
+    prop = F.when(size % 4 == 0, "state_of_charge").when(size % 4 == 1, "temperature").when(size % 4 == 2, "C_rate").otherwise("cycle")
+    term = G.circuit_term(F.when(size % 2 == 0, "R ct").otherwise("R9"))
+    return t.part.filter("p_size > 0").select("p_partkey", G.axis_scalar(raw, prop).alias("value"), term["property"].alias("property"), term["role"].alias("role"))
+
+
+@query(_sql("""SELECT o, n, concat_ws('|', CASE WHEN flag <> 'N' AND qty > 25 THEN 'percentage_greater_than_100' END, CASE WHEN flag = 'R' THEN 'normalization_basis_unknown' END, CASE WHEN status = 'F' AND n > 1 THEN 'potential_reference_unknown' END) AS warnings FROM l"""))
+def reported_warnings(t: Tables):
+    """What reported values are to be warned of."""
+    got = G.metric_warnings(F.when(F.col("n") > 1, "onset_potential").otherwise("yield"), F.col("qty") * 4, F.when(F.col("flag") != "N", "%"), F.when(F.col("flag") == "R", "unknown"), F.when(F.col("status") == "F", "unknown").otherwise("rhe"))
+    return _lines(t).select("o", "n", F.array_join(got, "|").alias("warnings"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from assaylake.functions import axes as G
 from assaylake.functions import names as A
 from assaylake.operators import matching as M
 from assaylake.operators import status as S
@@ -57,3 +58,15 @@ def test_empty_state(spark):
     rows = [(["REVIEW"], 0, 5, 0), ([None], 0, 5, 0), (None, 2, 5, 0), (None, None, None, None), (["review"], 0, 0, 1)]
     got = run(spark, rows, "t array<string>, a int, q int, r int", S.empty_state(F.col("t"), F.col("a"), F.col("q"), F.col("r"))["kind"])
     assert [k for (k,) in got] == ["review_no_focal_data", "quarantined_only", "no_structured_results", "no_structured_results", None]
+
+
+AXES = [("50 %", "state_of_charge", 50.0), ("50", "state_of_charge", None), ("–20 ◦C", "temperature", -20.0), ("25", "temperature", None), ("C/10", "C_rate", 0.1), ("0.5C", "C_rate", 0.5), ("3 or 4", "cycle", None), ("", "cycle", None), (None, "cycle", None)]
+
+
+def test_axis_scalars(spark):
+    assert run(spark, AXES, "a string, p string, v double", G.axis_scalar(F.col("a"), F.col("p"))) == [(v,) for *_, v in AXES]
+
+
+def test_circuit_terms(spark):
+    term = G.circuit_term(F.col("a"))
+    assert run(spark, [("R ct",), ("x",), (None,)], "a string", term["property"], term["role"]) == [("charge_transfer_resistance", "charge_transfer"), (None, "unknown"), (None, "unknown")]
