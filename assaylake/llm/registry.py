@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, neighbours, packing, quality, rules, secrets, tokens, warc
+from . import bpe, collocations, lines, minhash, mixing, neighbours, packing, quality, rules, secrets, spelling, tokens, warc
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash.query,
     "op9_best_fit_packing": packing.query,
     "op10_line_dedup": lines.query,
+    "op11_phrase_collocations": collocations.query,
+    "op12_bpe_encoding": bpe.query,
+    "op13_spelling_variants": spelling.query,
 }
 
-ORACLES = {"op3_warc_revisits": warc.ORACLE}
+ORACLES = {
+    "op3_warc_revisits": warc.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
+}
