@@ -15,40 +15,49 @@ def _runs(text: Column) -> Column:
     return F.when(F.size(words) >= 3, F.slice(three, 1, F.size(words) - 2))
 
 
-def contained(snippets: DataFrame, texts: DataFrame, snippet_id: str, text_id: str) -> DataFrame:
-    """(snippet id, text id) of the texts that hold a snippet, case aside.
+def contained(snippets: DataFrame, texts: DataFrame, snippet_id: str, text_id: str, scope: str | None = None) -> DataFrame:
+    """(snippet id, text id) of the texts that hold a snippet, case aside; both of one ``scope``, if given.
 
     A snippet's inner words are whole words of a text that holds it, so its inner run of three words
     with most characters is an equality key. Texts give their runs' keys and ids alone; their bodies
-    meet only the snippets that share one. Snippets of fewer than five words have no key; they are
-    few or none, and are compared with every text.
+    meet only the snippets that share one. Snippets of fewer than five words have no key; they meet
+    the texts of their scope, or without scopes (they are few or none) every text.
     """
     inner = lambda runs: F.when(F.size(runs) > 2, F.slice(runs, 2, F.size(runs) - 2))
-    s = snippets.select(F.col(snippet_id).alias("sid"), F.lower("text").alias("snippet"), F.array_max(inner(_runs(F.col("text"))))["key"].alias("key"))
-    bodies = texts.select(F.col(text_id).alias("tid"), F.lower("text").alias("body"))
-    keys = texts.select(F.col(text_id).alias("tid"), F.explode(F.array_distinct(_runs(F.col("text"))["key"])).alias("key"))
-    near = keys.join(s.select("sid", "key").filter("key is not null"), "key").select("sid", "tid")
-    out = bodies.join(near, "tid").join(s.drop("key"), "sid").filter(F.contains("body", F.col("snippet"))).select("sid", "tid")
-    short = s.filter("key is null").select("sid", "snippet")
-    if not short.isEmpty():
-        out = out.unionByName(short.join(bodies, F.contains("body", F.col("snippet"))).select("sid", "tid"))
+    within = F.col(scope) if scope else F.lit(0)
+    key = F.array_max(inner(_runs(F.col("text"))))["key"]
+    s = snippets.select(F.col(snippet_id).alias("sid"), within.alias("scope"), F.lower("text").alias("snippet"), key.alias("key"))
+    bodies = texts.select(F.col(text_id).alias("tid"), within.alias("scope"), F.lower("text").alias("body"))
+    keys = texts.select(F.col(text_id).alias("tid"), within.alias("scope"), F.explode(F.array_distinct(_runs(F.col("text"))["key"])).alias("key"))
+    near = keys.join(s.select("sid", "scope", "key").filter("key is not null"), ["scope", "key"]).select("sid", "tid")
+    out = bodies.drop("scope").join(near, "tid").join(s.select("sid", "snippet"), "sid").filter(F.contains("body", F.col("snippet"))).select("sid", "tid")
+    short = s.filter("key is null").select("sid", "scope", "snippet")
+    if scope or not short.isEmpty():
+        met = short.join(bodies, "scope") if scope else short.drop("scope").crossJoin(bodies.drop("scope"))
+        out = out.unionByName(met.filter(F.contains("body", F.col("snippet"))).select("sid", "tid"))
     return out.select(F.col("sid").alias(snippet_id), F.col("tid").alias(text_id))
 
 
 def verify_snippets(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     """Evidence with ``verbatim_match``: its page, or without a page exactly one of the source's, holds the snippet.
 
-    Snippets and pages meet by source; keys are normal forms. An empty snippet or a source without
-    text leaves the match null.
+    Snippets and pages meet by source and shared runs of words; keys are normal forms. An empty
+    snippet or a source without text leaves the match null.
     """
     from ..functions.text import evidence_key
 
-    p = pages.select("source_id", F.col("page").alias("_page"), evidence_key(F.col("text")).alias("_text"))
-    rows = evidence.withColumn("_id", F.monotonically_increasing_id()).withColumn("_key", evidence_key(F.col("text_snippet")))
-    hits = rows.join(p, "source_id", "left").withColumn("_hit", (F.length("_key") > 0) & F.contains("_text", F.col("_key")) & (F.col("page").isNull() | (F.col("page") == F.col("_page"))))
-    got = hits.groupBy("_id", *evidence.columns).agg(F.count("_text").alias("_pages"), F.count_if("_hit").alias("_hits"), F.min(F.when(F.col("_hit"), F.col("_page"))).alias("_at"), F.max(F.length("_key")).alias("_n"))
-    match = F.when((F.col("_n") > 0) & (F.col("_pages") > 0), F.when(F.col("page").isNotNull(), F.col("_hits") > 0).otherwise(F.col("_hits") == 1))
-    return got.select(*[c for c in evidence.columns if c not in ("page", "verbatim_match")], F.coalesce("page", F.when(F.col("_hits") == 1, F.col("_at"))).alias("page"), match.alias("verbatim_match"))
+    rows = evidence.withColumn("_id", F.to_json(F.struct(*evidence.columns)))
+    wanted = rows.select("_id", "source_id", "page", evidence_key(F.col("text_snippet")).alias("text")).filter(F.length("text") > 0).distinct()
+    texts = pages.select(F.struct("source_id", "page").alias("at"), "source_id", evidence_key(F.col("text")).alias("text"))
+    hits = contained(wanted.select("_id", "source_id", "text"), texts, "_id", "at", "source_id").distinct().join(wanted.select("_id", "page"), "_id")
+    hits = hits.filter(F.col("page").isNull() | (F.col("page") == F.col("at.page")))
+    hits = hits.groupBy("_id").agg(F.count(F.lit(1)).alias("_hits"), F.min("at.page").alias("_at"))
+    counted = pages.groupBy("source_id").agg(F.count(F.lit(1)).alias("_pages"))
+    got = rows.join(counted, "source_id", "left").join(hits, "_id", "left").withColumn("_hits", F.coalesce("_hits", F.lit(0).cast("long")))
+    asked = (F.length(evidence_key(F.col("text_snippet"))) > 0) & (F.col("_pages") > 0)
+    match = F.when(asked, F.when(F.col("page").isNotNull(), F.col("_hits") > 0).otherwise(F.col("_hits") == 1))
+    kept = [c for c in evidence.columns if c not in ("page", "verbatim_match")]
+    return got.select(*kept, F.coalesce("page", F.when(F.col("_hits") == 1, F.col("_at"))).alias("page"), match.alias("verbatim_match"))
 
 
 def verify_cells(claims: DataFrame, cells: DataFrame) -> DataFrame:
