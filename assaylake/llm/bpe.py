@@ -13,11 +13,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ from .tokens import load, tokenizer_path
 #: Words of more parts than this are merged through the heap.
 SHORT_PARTS = 96
 #: Words a worker remembers with their ids, and the longest of them in characters.
-MEMO_WORDS, MEMO_CHARS = 200_000, 48
+MEMO_WORDS, MEMO_CHARS = 600_000, 48
 #: Bytes of encoded and decoded output that one Arrow batch holds, about.
 BATCH_BYTES = 8_000_000
 
@@ -42,7 +43,33 @@ _PLAIN_NORMALIZER = [
     {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
     {"type": "Lowercase"},
 ]
-_PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _plain_split() -> re.Pattern:
+    """The same cut with the classes of plain characters written out."""
+    lowered = sorted({x for c in range(0x250) if _PLAIN.fullmatch(chr(c)) for x in chr(c).lower()})
+    of = lambda kind: "".join(x for x in lowered if unicodedata.category(x)[0] == kind)
+    return re.compile(_SPLIT.replace(r"[\p{L}]", f"[{of('L')}]").replace(r"[\p{N}]", f"[{of('N')}]").replace(r"\p{L}\p{N}", of("L") + of("N")))
+
+
+class Words(dict):
+    """What is known of words met before: packed ids and decoded text of each.
+
+    When half of ``most`` words are held, they become the older half, of which those met again are kept.
+    """
+
+    def __init__(self, make, most: int = MEMO_WORDS):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        found = self.older.get(word) or self.make(word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 def byte_letters() -> list[str]:
@@ -70,35 +97,41 @@ class Bpe:
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        #: The same by the merged part and the length of its left one.
+        self.made = {(a + b, len(a)): rank for (a, b), rank in self.ranks.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
         self.normalizer, self.cutter, self.decoder = self.library.normalizer, self.library.pre_tokenizer, self.library.decoder
         self.plain = self._plain_pattern(spec)
         self.letters = byte_letters()
-        #: Words met before with their ids; those of the plain pattern are characters, others letters of bytes.
-        self.known: dict[bool, dict[str, list[int]]] = {True: {}, False: {}}
+        # Words of the plain pattern are characters, others the letters of their bytes.
+        self.known = {True: Words(lambda w: self.coded(self.in_letters(w))), False: Words(self.coded)}
 
     @staticmethod
     def _plain_pattern(spec: dict):
         """The pattern of words in plain texts, if the file's components are those it stands for; else None."""
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        split = {"type": "Split", "pattern": {"Regex": _PLAIN_SPLIT}, "behavior": "Removed", "invert": True}
+        split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
         level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         same = len(steps) == 2 and steps[0] == split and {k: v for k, v in steps[1].items() if k != "trim_offsets"} == level
-        return regex.compile(_PLAIN_SPLIT) if same and (spec["normalizer"] or {}).get("normalizers") == _PLAIN_NORMALIZER else None
+        return _plain_split() if same and (spec["normalizer"] or {}).get("normalizers") == _PLAIN_NORMALIZER else None
 
-    def words(self, text: str) -> Iterator[str]:
-        """The words of a text without special strings, each of which is merged alone."""
+    def in_letters(self, word: str) -> str:
+        return "".join(map(self.letters.__getitem__, word.encode()))
+
+    def coded(self, word: str) -> tuple[bytes, str]:
+        ids = self.merge(word)
+        return pack(ids), "" if self.decoder else self.decode(ids)
+
+    def words(self, text: str) -> tuple[bool, list[str]]:
+        """The words of a text without special strings, each of which is merged alone, and whether they are plain."""
         if self.plain is not None and _PLAIN.fullmatch(text):
-            yield from self.plain.findall(text.lower())
-            return
+            return True, self.plain.findall(text.lower())
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
         if self.cutter is None:
-            yield from [text] * bool(text)
-        else:
-            for word, _ in self.cutter.pre_tokenize_str(text):
-                yield word
+            return False, [text] * bool(text)
+        return False, [word for word, _ in self.cutter.pre_tokenize_str(text)]
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The parts of a text between special strings, and these with their ids."""
@@ -119,20 +152,22 @@ class Bpe:
 
     def _scan(self, word: str) -> list[int]:
         """Boundaries and ranks as two arrays: delete the boundary of least rank until none merges."""
-        ranks, end = self.ranks, len(word)
-        part = lambda i, j: word[i:j] if j < end else word[i:] + self.suffix
-        bounds = list(range(end + 1))
-        # around[i]: the rank of the parts that meet at bounds[i + 1]
-        around = [ranks.get((part(i, i + 1), part(i + 1, i + 2)), _NONE) for i in range(end - 1)]
+        text, vocab, made = word + self.suffix, self.vocab, self.made
+        bounds = [*range(len(word)), len(text)]
+
+        def rank(i: int) -> int:
+            """Of the two parts that meet at bounds[i + 1]."""
+            return made.get((text[bounds[i] : bounds[i + 2]], bounds[i + 1] - bounds[i]), _NONE)
+
+        around = [rank(i) for i in range(len(word) - 1)]
         while around and (least := min(around)) < _NONE:
             at = around.index(least)
-            del bounds[at + 1]
-            del around[at]
+            del bounds[at + 1], around[at]
             if at < len(around):
-                around[at] = ranks.get((part(bounds[at], bounds[at + 1]), part(bounds[at + 1], bounds[at + 2])), _NONE)
+                around[at] = rank(at)
             if at:
-                around[at - 1] = ranks.get((part(bounds[at - 1], bounds[at]), part(bounds[at], bounds[at + 1])), _NONE)
-        return [self.vocab[part(i, j)] for i, j in zip(bounds, bounds[1:], strict=False)]
+                around[at - 1] = rank(at - 1)
+        return [vocab[text[i:j]] for i, j in zip(bounds, bounds[1:], strict=False)]
 
     def _heap(self, word: str) -> list[int]:
         """Linked parts and a heap of ranks; entries of parts that have changed since are passed over."""
@@ -157,23 +192,23 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, special strings included, as the library's without its template."""
-        out: list[int] = []
+        return unpack(self.code(text)[0])
+
+    def code(self, text: str) -> tuple[bytes, str]:
+        """The packed ids of a whole text, and the text that they decode to."""
+        ids, shown = [], []
         for part, special in self.segments(text):
             if special is not None:
-                out.append(special)
+                ids.append(pack([special]))
+                shown.append(part)
                 continue
-            plain = self.plain is not None and _PLAIN.fullmatch(part) is not None
-            known = self.known[plain]
-            for word in self.words(part):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.merge("".join(map(self.letters.__getitem__, word.encode())) if plain else word)
-                    if len(word) <= MEMO_CHARS:
-                        if len(known) >= MEMO_WORDS:
-                            known.clear()
-                        known[word] = ids
-                out += ids
-        return out
+            plain, words = self.words(part)
+            if words:
+                packed, texts = zip(*map(self.known[plain].__getitem__, words), strict=True)
+                ids.append(b"".join(packed))
+                shown.append(" ".join(texts))
+        packed = b"".join(ids)
+        return packed, " ".join(shown) if self.decoder is None else self.decode(unpack(packed))
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids, special strings included: by the file's decoder, or its tokens between blanks; unknown ids are passed over."""
@@ -188,7 +223,11 @@ def codec(path: str) -> Bpe:
 
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return memoryview(pa.array(ids, pa.uint32()).buffers()[1] or b"")[: 4 * len(ids)].tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpack(packed: bytes) -> list[int]:
+    return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
 
 def encode_documents(
@@ -212,10 +251,10 @@ def encode_documents(
         for b in batches:
             begin, held, packed, texts, counts = 0, 0, [], [], []
             for i in range(b.num_rows):
-                ids = bpe.encode(b.column(1)[i].as_py() or "")
-                packed.append(pack(ids))
-                texts.append(bpe.decode(ids))
-                counts.append(len(ids))
+                ids, text = bpe.code(b.column(1)[i].as_py() or "")
+                packed.append(ids)
+                texts.append(text)
+                counts.append(len(ids) // 4)
                 held += len(packed[-1]) + len(texts[-1])
                 if held >= batch_bytes or i == b.num_rows - 1:
                     columns = [b.column(0)[begin : i + 1], pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(texts, pa.string())]
