@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, with its lineage cut by a reliable checkpoint.
 
-    The folder is that of ``spark.checkpoint.dir``. Where the setting is unset, a local master (as in
-    tests) gets one below its warehouse; a cluster is refused, as its executors would share none.
+def shared_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where the setting is unset, a local master (as in tests) gets one below its warehouse; a cluster
+    is refused, as its executors would share none.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, with its lineage cut by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", "")
-        if not base:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(base)
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.journal import TRANSITIONS, append_log
+from ..sources.versions import VersionedTables, append_once
 
 EVENT = "job_id string, version long, state string, at timestamp"
 OUT = "job_id string, version long, state string, accepted boolean, reason string"
@@ -66,6 +67,18 @@ def append_stream(events: DataFrame, path: str, checkpoint: str, key: str = "eve
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_versions(events: DataFrame, path: str, checkpoint: str, key: str = "event_id"):
+    """The same into ``rows`` and ``conflicts`` of a versioned folder, each micro-batch as one version.
+
+    A batch that is lost between its writes, and run again, leaves each row and each conflict once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_once(VersionedTables(batch.sparkSession, path), batch, key, checkpoint, number)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Requests of each owner and UTC day, final once the watermark has passed the day."""
     return events.withWatermark("at", late).groupBy(F.window("at", "1 day"), "owner_key", "action").agg(F.count(F.lit(1)).alias("n"))
