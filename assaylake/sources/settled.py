@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of this driver; what was returned may still be read from them.
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes all intermediate tables of this driver; results that were not written are gone then."""
+    while _FOLDERS:
+        spark, folder = _FOLDERS.pop()
+        if spark.sparkContext._jsc is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, with its lineage cut by a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
+    """``df`` computed once: written to the shared folder and read from there.
+
+    That cuts the lineage as a checkpoint does. A checkpoint would keep the sizes that the optimizer guessed
+    for the plan behind it, which multiply from round to round; of a table it sees the real ones.
+    """
+    folder = shared_folder(df.sparkSession, "settled")
+    _FOLDERS.append((df.sparkSession, folder))
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
