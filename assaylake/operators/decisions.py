@@ -286,12 +286,16 @@ CORROSION_EIS = (
 )
 
 
-def catalysis(origins: tuple[str, ...] = ("native_text", "table_reported", "ocr_extracted", "text", "table")) -> Column:
+#: Where evidence of catalysis may come from.
+CATALYSIS_ORIGINS = ("native_text", "table_reported", "figure_caption", "figure_annotation", "ocr_extracted", "figure_digitized")
+
+
+def catalysis(origins: tuple[str, ...] = CATALYSIS_ORIGINS) -> Column:
     """Over property, raw_value, value, unit, evidence, ownership, scope_status, product, reactant,
     normalization_kind, potential_reference, derived, unresolved_conflict and semantic_invalid."""
     empty = lambda x: F.length(F.coalesce(c(x), F.lit(""))) == 0
     basis = F.coalesce(c("normalization_kind"), F.lit("unknown"))
-    origin = lambda e: F.coalesce(e["original_source_type"], e["source_type"])
+    origin = lambda e: e["original_source_type"]
     estimated = lambda e: F.coalesce(origin(e) == "figure_digitized", F.lit(False)) | F.coalesce(e["estimated"], F.lit(False))
     number = F.exists("evidence", lambda e: F.coalesce(e["verbatim_match"], F.lit(False)) & N.supports_value(e["text_snippet"], c("value"), 1e-9))
     return O.ladder([

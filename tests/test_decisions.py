@@ -133,12 +133,12 @@ reference_electrode string, equivalent_circuit string, treatment_present boolean
 
 
 def test_catalysis(spark):
-    base = {"property": "conversion", "raw_value": "50", "value": 50.0, "unit": "%", "evidence": [evidence("50")], "ownership": "focal_work", "scope_status": "supported", "product": "CO", "reactant": "CO2", "normalization_kind": "site_count", "potential_reference": "RHE", "derived": False, "unresolved_conflict": False, "semantic_invalid": False}
+    base = {"property": "conversion", "raw_value": "50", "value": 50.0, "unit": "%", "evidence": [evidence("50", original_source_type="native_text")], "ownership": "focal_work", "scope_status": "supported", "product": "CO", "reactant": "CO2", "normalization_kind": "site_count", "potential_reference": "RHE", "derived": False, "unresolved_conflict": False, "semantic_invalid": False}
     cases = [
         ({}, None), ({"scope_status": "deferred_subtype", "derived": True}, "unsupported_v1_subtype"), ({"ownership": "cited_prior_work"}, "ownership_cited_prior_work"), ({"derived": True}, "derived_value_not_reported"), ({"unresolved_conflict": True}, "condition_conflict"),
         ({"semantic_invalid": True}, "schema_invalid"), ({"value": 101.0}, "schema_invalid"), ({"property": "yield", "product": None}, "missing_product"), ({"reactant": ""}, "schema_invalid"), ({"property": "activity", "normalization_kind": None}, "normalization_basis_unknown"),
         ({"property": "turnover_frequency", "normalization_kind": "mass"}, "incompatible_unit_basis"), ({"property": "onset_potential", "potential_reference": None}, "missing_potential_reference"), ({"evidence": [evidence("50", original_source_type="figure_digitized")]}, "estimated_digitized"),
-        ({"evidence": [evidence("50", original_source_type="figure_reported")]}, "unsupported_visual_origin"), ({"evidence": [evidence("7")]}, "no_value_specific_evidence"),
+        ({"evidence": [evidence("50", original_source_type="figure_reported")]}, "unsupported_visual_origin"), ({"evidence": [evidence("50")]}, "unsupported_visual_origin"), ({"evidence": [evidence("7", original_source_type="native_text")]}, "no_value_specific_evidence"),
     ]
     table = spark.createDataFrame([(i, *{**base, **c}.values()) for i, (c, _) in enumerate(cases)], f"i int, {CATALYSIS}")
     assert [r.reason for r in table.withColumn("reason", decisions.catalysis()).orderBy("i").collect()] == [w for _, w in cases]
