@@ -155,7 +155,7 @@ def admission_catalysis(t: Tables):
     rows = _case(t, CATALYSIS, _CATALYSIS_BASE, _CATALYSIS_KINDS)
     value = F.col("q") + F.col("shift")
     said = F.concat(F.lit("it was "), F.when(F.col("ev") == "other", "nothing").otherwise(value.cast("string")), F.lit(" here"))
-    origin = F.when(F.col("ev") == "digitized", "figure_digitized").when(F.col("ev") == "caption", "figure_caption").when(F.col("ev") != "plain", "native_text")
+    origin = F.when(F.col("ev") == "digitized", "figure_digitized").when(F.col("ev") == "caption", "microscopy").when(F.col("ev") != "plain", "native_text")
     evidence = F.array(F.struct(F.lit("text").alias("source_type"), origin.alias("original_source_type"), F.lit(True).alias("verbatim_match"), said.alias("text_snippet"), F.lit(False).alias("estimated")))
     rows = rows.withColumns({"raw_value": value.cast("string"), "value": value.cast("double"), "evidence": evidence})
     return rows.withColumn("reason", D.catalysis()).select("o", "n", "reason")
