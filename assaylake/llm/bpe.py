@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import load, tokenizer_path
+from .tokens import DROPS_SPACE_SPLIT, drops_space, load, tokenizer_path
 
 #: Words of more parts than this are merged through the heap.
 SHORT_PARTS = 96
@@ -37,20 +37,13 @@ _NONE = 1 << 60
 
 #: Characters of which NFC changes nothing, which lower-case one by one, and whose white space is known.
 _PLAIN = re.compile(r"[\t\n\r -~¡-įĲ-ɏ]*")
-# The components of a file that the plain way stands for.
-_PLAIN_NORMALIZER = [
-    {"type": "NFC"},
-    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
-    {"type": "Lowercase"},
-]
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _plain_split() -> re.Pattern:
     """The same cut with the classes of plain characters written out."""
     lowered = sorted({x for c in range(0x250) if _PLAIN.fullmatch(chr(c)) for x in chr(c).lower()})
     of = lambda kind: "".join(x for x in lowered if unicodedata.category(x)[0] == kind)
-    return re.compile(_SPLIT.replace(r"[\p{L}]", f"[{of('L')}]").replace(r"[\p{N}]", f"[{of('N')}]").replace(r"\p{L}\p{N}", of("L") + of("N")))
+    return re.compile(DROPS_SPACE_SPLIT.replace(r"[\p{L}]", f"[{of('L')}]").replace(r"[\p{N}]", f"[{of('N')}]").replace(r"\p{L}\p{N}", of("L") + of("N")))
 
 
 class Words(dict):
@@ -102,20 +95,11 @@ class Bpe:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
         self.normalizer, self.cutter, self.decoder = self.library.normalizer, self.library.pre_tokenizer, self.library.decoder
-        self.plain = self._plain_pattern(spec)
+        self.plain = _plain_split() if drops_space(spec) else None
         self.letters = byte_letters()
         # Words of the plain pattern are characters, others the letters of their bytes.
         self.known = {True: Words(lambda w: self.coded(self.in_letters(w))), False: Words(self.coded)}
 
-    @staticmethod
-    def _plain_pattern(spec: dict):
-        """The pattern of words in plain texts, if the file's components are those it stands for; else None."""
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
-        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
-        same = len(steps) == 2 and steps[0] == split and {k: v for k, v in steps[1].items() if k != "trim_offsets"} == level
-        return _plain_split() if same and (spec["normalizer"] or {}).get("normalizers") == _PLAIN_NORMALIZER else None
-
     def in_letters(self, word: str) -> str:
         return "".join(map(self.letters.__getitem__, word.encode()))
 

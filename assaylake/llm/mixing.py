@@ -27,8 +27,8 @@ MOST_TIMES = 2
 BLOCK_DOCS = 32
 #: Blocks of a source at most; the opened block is cut into as many again.
 BLOCKS = 65_536
-#: Words of a shard, if it gets so many blocks at least; larger ones where there would be too many of them.
-SHARD_WORDS, SHARD_BLOCKS, SHARDS = 2_000_000, 16, 16_384
+#: Words of a shard, and shards at least, if each gets so many blocks; larger ones where there would be too many of them.
+SHARD_WORDS, LEAST_SHARDS, SHARD_BLOCKS, SHARDS = 2_000_000, 8, 16, 16_384
 #: Sources that one task splits over the shards; the driver splits the groups of them.
 GROUP = 1024
 SEED = 11
@@ -210,7 +210,7 @@ class Mix:
         groups = sorted((r.grp, r.n) for r in n.groupBy("grp").agg(F.sum("n").alias("n")).collect())
         words = self.sources.agg(F.sum("target")).first()[0] or 0
         total = sum(x for _, x in groups)
-        shards = max(1, min(math.ceil(words / shard_words), total // SHARD_BLOCKS, SHARDS))
+        shards = max(1, min(max(math.ceil(words / shard_words), LEAST_SHARDS), total // SHARD_BLOCKS, SHARDS))
         leaves = np.full(shards, total // shards, dtype=np.int64)
         leaves[: total % shards] += 1
         top = split_tree(np.array([x for _, x in groups], dtype=np.int64), leaves, "groups")

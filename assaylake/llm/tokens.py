@@ -7,11 +7,15 @@ string can cross it. Where the overlap has no such place it is widened, at worst
 text, so that counts equal those of the whole text in every case.
 
 Shorter texts are cut at all such places; the tokens of the pieces, most of them single words that
-recur, add up to those of the text and are remembered by each worker, within MEMO_BYTES.
+recur, add up to those of the text and are remembered by each worker, within MEMO_CHARS.
+
+Which places are proven follows from the tokenizer's file: its normalisation and its cut into words are
+read, and only kinds whose boundaries are known are cut at all. Texts are encoded whole for others.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,9 +31,20 @@ OVERLAP_CHARS = 512
 LIMIT = 2048
 TOKENIZER = "word_bpe_49k.json"
 
-#: White space, then a plain ASCII character: the tokenizer drops the one and starts anew at the
+# The components of files whose words never hold white space, which is dropped.
+DROPS_SPACE_NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+DROPS_SPACE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: White space, then a plain ASCII character: such a tokenizer drops the one and starts anew at the
 #: other; neither composes with its neighbours under NFC, and special strings hold no white space.
 _PROVEN = re.compile(r"[ \n\t\r](?=[!-~])")
+#: A single blank between plain ASCII characters: byte-level tokenizers without normalisation, which
+#: cut texts into words with the blank before them, start a word at it.
+_PROVEN_BLANK = re.compile(r"(?<=[!-~])(?= [!-~])")
 #: Characters of text that one call to the library gets.
 _CALL_CHARS = 4_000_000
 #: Characters of the pieces whose counts a worker remembers; longer pieces are counted anew each time.
@@ -48,6 +63,27 @@ def load(path: str):
     return out
 
 
+def drops_space(spec: dict) -> bool:
+    """A tokenizer's description says that its words are runs of letters, digits or signs, and nothing is kept between."""
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": DROPS_SPACE_SPLIT}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    same = len(steps) == 2 and steps[0] == split and {k: v for k, v in steps[1].items() if k != "trim_offsets"} == level
+    return same and (spec["normalizer"] or {}).get("normalizers") == DROPS_SPACE_NORMALIZER
+
+
+def proven(tokenizer) -> re.Pattern | None:
+    """Where texts may be cut so that the tokens of the pieces are those of the text; None if no place is known to be one."""
+    spec = json.loads(tokenizer.to_str())
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or " " in t["content"]) for t in spec["added_tokens"])
+    if plain and drops_space(spec):
+        return _PROVEN
+    cut = spec["pre_tokenizer"] or {}
+    if plain and spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space"):
+        return _PROVEN_BLANK
+    return None
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -102,7 +138,7 @@ class Memo:
     """Numbers of tokens of pieces of text; forgets all of them when they exceed MEMO_CHARS characters."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.chars = tokenizer, {}, 0
+        self.tokenizer, self.known, self.chars, self.places = tokenizer, {}, 0, proven(tokenizer)
 
     def count(self, pieces: set[str]) -> dict[str, int]:
         """The numbers of tokens of some pieces, at least."""
@@ -140,10 +176,10 @@ def count_batch(memo: Memo, texts: list[str], chunk_chars: int = CHUNK_CHARS, ov
             out[i] = sum(known[p] if len(p) <= MEMO_PIECE else len(next(rest)) for p in pieces)
 
     for i, text in enumerate(texts):
-        if len(text) > chunk_chars:
+        if len(text) > chunk_chars and memo.places is _PROVEN:
             out[i] = count_chunked(memo.tokenizer, text, chunk_chars, overlap_chars)
             continue
-        group.append((i, _PROVEN.split(text)))
+        group.append((i, memo.places.split(text) if memo.places else [text]))
         size += len(text)
         if size > _CALL_CHARS:
             flush()
@@ -158,7 +194,8 @@ def count_tokens(
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs``, one row for each.
 
     Null and empty texts have 0 bytes and tokens; null ids and repeated rows are counted like
-    others; columns besides the two named are not read.
+    others; columns besides the two named are not read. ``tokenizer_file`` is any .json of the
+    library's; only files whose words drop white space have long texts encoded in overlapping chunks.
     """
     path = tokenizer_file or tokenizer_path()
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from assaylake.llm import tokens
 
 
@@ -43,3 +45,26 @@ def test_remembered_pieces_add_up(monkeypatch):
         memo = tokens.Memo(t)
         assert tokens.count_batch(memo, texts) == want and tokens.count_batch(memo, texts, 64, 8) == want
         assert memo.chars <= most and memo.chars == sum(map(len, memo.known))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_public_tokenizer(spark, docs, name):
+    t = tokens.load(tokens.tokenizer_path(name))
+    rng = random.Random(8)
+    pieces = ["the ", " the", "Straße ", "don't ", "1234", "\n\n", " \n x", "é ", "\u0301x", "<|endoftext|>", " <|endoftext|> ", "...", "\xa0", "  a", "\t", "b  ", "'s", " ", "日本語 ", "a" * 70]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(120))) for _ in range(120)] + ["word " * 9000, " " * 40_000, "x y" * 20_000, "ab" * 30_000]
+    got = tokens.count_tokens(docs(*enumerate(texts)), tokenizer_file=tokens.tokenizer_path(name)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: whole(t, x) for i, x in enumerate(texts)}
+
+
+def test_unknown_kinds_are_encoded_whole(tmp_path, spark, docs):
+    import json
+
+    spec = json.loads(tokens.load(tokens.tokenizer_path("byte_bpe_50k.json")).to_str())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    t = tokens.load(str(tmp_path / "t.json"))
+    assert tokens.proven(t) is None
+    texts = ["one two three", "", " a b", "x" * 40_000 + " y"]
+    got = tokens.count_tokens(docs(*enumerate(texts)), tokenizer_file=str(tmp_path / "t.json")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: whole(t, x) for i, x in enumerate(texts)}
