@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.axes import axis_scalar, single_number
 from ..functions.numbers import reported_numbers
 from ..functions.text import evidence_key
+from ..sources.settled import settled
 from . import frames as O
 
 #: Quantities that an axis may show, in order, with their unit and the words that name them.
@@ -149,6 +150,7 @@ def recover_matrices(matrices: DataFrame, seeds: DataFrame) -> DataFrame:
 
     ``seeds`` also have method, cycle and ownership. Of several points at one cell the least id counts.
     """
+    matrices = settled(matrices)
     bound = table_bindings(matrices, seeds).filter("reason is null").drop("reason")
     own = seeds.join(bound.select("table_id", "property"), ["table_id", "property"])
     shared = lambda c, kind: F.when(F.count_distinct(kind) == 1, F.min(kind)).alias(c)

@@ -9,6 +9,7 @@ from ..operators import analytic as Y
 from ..operators import archives as A
 from ..schema import ARCHIVE
 from ..sources import logs
+from ..sources.settled import settled
 from .registry import Tables, query
 
 _EVIDENCE = "named_struct('source_id', concat('src-', cust), 'page', n, 'source_type', {kind}, 'original_source_type', {origin}, 'verbatim_match', {verbatim}, 'text_snippet', {snippet}, 'confidence', {confidence})"
@@ -29,7 +30,10 @@ _RECORDS = {
 
 
 def corpus(t: Tables) -> DataFrame:
-    """An archive for each order: its customer is the source, its lines are experiments, processes and calculations."""
+    """An archive for each order: its customer is the source, its lines are experiments, processes and calculations.
+
+    It is written once, so that the projections of an operator read archives, not the tables behind them.
+    """
     least = lambda name, kind, by=1: F.round(F.min(name) * by).cast(kind)
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(
         F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), least("l_quantity", "long").alias("qty"), least("l_extendedprice", "long").alias("price"),
@@ -50,7 +54,7 @@ def corpus(t: Tables) -> DataFrame:
     )
     typed = held.select(F.from_json(F.to_json(archive), ARCHIVE).alias("a")).select("a.*")
     lists = ("materials", "devices", "processes", "experiments", "calculations", "relationships")
-    return typed.withColumns({n: F.coalesce(n, F.expr(f"filter(array({n}[0]), x -> false)")) for n in lists})
+    return settled(typed.withColumns({n: F.coalesce(n, F.expr(f"filter(array({n}[0]), x -> false)")) for n in lists}))
 
 
 _L = """l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS part, min(l_suppkey) AS supp, CAST(round(min(l_quantity)) AS BIGINT) AS qty, CAST(round(min(l_extendedprice)) AS BIGINT) AS price,
