@@ -121,3 +121,31 @@ def corpus_summary(cases: DataFrame, flags: dict[str, Column], sums: list[str])
     """One row over all cases: their number, how many hold each flag, totals, and the share that is complete."""
     out = cases.agg(F.count(F.lit(1)).alias("cases"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums))
     return out.select("*", *(O.ratio(F.col(n), F.col("cases")).alias(f"{n}_share") for n in flags))
+
+
+def shown_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs as they may be shown: plain identifiers, file names without paths or keys, a prefix of checksums, and what is uncertain.
+
+    ``jobs``: job_id, run_id, state, domain, provider, model, error_class, created_at, filename, sha256, uncertain_action (of an action whose
+    outcome is not known, or null).
+    """
+    from ..functions.text import redact, safe_identifier
+
+    plain = [safe_identifier(F.col(c)).alias(c) for c in ("job_id", "run_id", "state", "domain", "provider", "model", "error_class")]
+    words = lambda c: F.replace(safe_identifier(F.col(c)), F.lit("_"), F.lit(" "))
+    name = F.col("filename")
+    bare = (F.char_length(name) <= 255) & ~F.rlike(name, F.lit(r"[/\\\\\x00-\x1f]")) & (name != "") & ~name.isin(".", "..")
+    open_ = (F.col("state") == "RECONCILIATION_REQUIRED") | ((F.col("state") == "WAITING_PROVIDER") & F.col("uncertain_action").isNotNull())
+    uncertain = F.coalesce(open_, F.lit(False))
+    return jobs.select(
+        *plain, "created_at", words("error_class").alias("error_summary"), F.initcap(words("state")).alias("stage"), F.when(bare, F.regexp_replace(redact(name), "sk-[A-Za-z0-9_-]{8,}", "[REDACTED]")).alias("source_filename"),
+        F.when(F.rlike("sha256", F.lit("^[0-9a-f]{64}$")), F.substring("sha256", 1, 12)).alias("source_sha256_prefix"), uncertain.alias("reconciliation_required"),
+        F.when(uncertain, "outcome_uncertain").otherwise(words("error_class")).alias("status_reason"),
+    )
+
+
+def frozen_runs(runs: DataFrame, manifest: DataFrame, fields: list[str]) -> DataFrame:
+    """``runs`` with what a manifest has frozen for exactly their case, run and model; null where it has nothing, the greatest entry of several."""
+    key = ["case_id", "run_id", "exact_model"]
+    one = manifest.groupBy(*key).agg(F.max(F.struct(*fields)).alias("_f"))
+    return runs.join(one, key, "left").select(*runs.columns, *(F.col(f"_f.{f}").alias(f) for f in fields))

@@ -24,6 +24,8 @@ def query(sql: str | None):
     """Registers fn(tables) -> DataFrame as a query over (spark, folder)."""
 
     def register(fn):
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"a query of this name is registered: {fn.__name__}")
         QUERIES[fn.__name__] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
             SQL[fn.__name__] = sql

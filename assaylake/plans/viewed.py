@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import status as S
 from ..operators import views as U
 from .nested import corpus
 from .registry import Tables, query
@@ -77,3 +78,28 @@ def result_identities(t: Tables):
     conditions = F.map_filter(F.create_map(F.lit("sample_label"), (part % 4).cast("string"), F.lit("medium"), F.when(part % 3 > 0, (part % 3).cast("string")), F.lit("note"), F.col("l_orderkey").cast("string")), lambda _, v: v.isNotNull())
     rows = t.lineitem.select(F.concat(F.lit("p"), "l_linenumber").alias("property"), F.when(F.col("l_suppkey") % 2 == 0, "%").alias("unit"), F.lit(None).cast("string").alias("method"), conditions.alias("conditions"), F.col("l_quantity").alias("value"))
     return U.result_groups(rows).select("identity.property", "identity.unit", F.col("identity.sample_label").cast("long").alias("sample"), F.col("identity.medium").cast("long").alias("medium"), "results", "values")
+
+
+@query("""WITH j AS (SELECT *, o_orderkey % 6 AS k, o_orderkey % 5 AS s FROM orders)
+SELECT CASE WHEN k = 0 THEN NULL ELSE 'job-' || o_orderkey END AS job_id, CASE s WHEN 0 THEN 'RECONCILIATION_REQUIRED' WHEN 1 THEN 'WAITING_PROVIDER' ELSE 'FAILED' END AS state, CASE s WHEN 0 THEN 'Reconciliation Required' WHEN 1 THEN 'Waiting Provider' ELSE 'Failed' END AS stage,
+ CASE k WHEN 0 THEN 'paper.pdf' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'key [REDACTED].pdf' WHEN 4 THEN NULL ELSE 'a b.pdf' END AS source_filename, CASE WHEN k % 2 = 0 THEN left(sha256(CAST(o_orderkey AS VARCHAR)), 12) END AS source_sha256_prefix,
+ s = 0 OR (s = 1 AND k > 2) AS reconciliation_required, CASE WHEN s = 0 OR (s = 1 AND k > 2) THEN 'outcome_uncertain' WHEN s = 2 THEN 'provider timeout' END AS status_reason FROM j""")
+def shown_jobs(t: Tables):
+    """Jobs without paths, keys or anything that is no plain identifier."""
+    key = F.col("o_orderkey")
+    k, s, no = key % 6, key % 5, F.lit(None).cast("string")
+    jobs = t.orders.select(
+        F.when(k == 0, F.concat(F.lit("/etc/"), key)).otherwise(F.concat(F.lit("job-"), key)).alias("job_id"), no.alias("run_id"), F.when(s == 0, "RECONCILIATION_REQUIRED").when(s == 1, "WAITING_PROVIDER").otherwise("FAILED").alias("state"), no.alias("domain"), no.alias("provider"), no.alias("model"),
+        F.when(s == 2, "provider_timeout").alias("error_class"), F.col("o_orderdate").alias("created_at"), F.when(k == 0, "paper.pdf").when(k == 1, "../x.pdf").when(k == 2, "C:\\x.pdf").when(k == 3, "key sk-abcdefgh1234.pdf").when(k == 5, "a b.pdf").alias("filename"),
+        F.when(k % 2 == 0, F.sha2(key.cast("string"), 256)).otherwise("zz").alias("sha256"), F.when(k > 2, "call").alias("uncertain_action"),
+    )
+    return S.shown_jobs(jobs).select("job_id", "state", "stage", "source_filename", "source_sha256_prefix", "reconciliation_required", "status_reason")
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber AS run_id, l_linenumber % 3 AS case_id, m.score, m.version FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l LEFT JOIN (SELECT o_orderkey, max(o_custkey) AS score, 'v' || max(o_custkey) % 2 AS version FROM orders GROUP BY 1) m ON m.o_orderkey = l_orderkey AND l_linenumber = 2""")
+def frozen_run_scores(t: Tables):
+    """Runs with what is frozen for exactly their case, run and model."""
+    run = F.concat("l_orderkey", F.lit("-"), "l_linenumber")
+    runs = t.lineitem.select(run.alias("run_id"), (F.col("l_linenumber") % 3).alias("case_id"), F.lit("m").alias("exact_model")).distinct()
+    manifest = t.orders.select(F.concat("o_orderkey", F.lit("-2")).alias("run_id"), F.lit(2).alias("case_id"), F.lit("m").alias("exact_model"), F.col("o_custkey").alias("score"), F.concat(F.lit("v"), F.col("o_custkey") % 2).alias("version"))
+    return S.frozen_runs(runs, manifest, ["score", "version"]).select("run_id", "case_id", "score", "version")
