@@ -39,9 +39,11 @@ def runs(text: str, doc_id: str) -> Counter[str]:
     """The runs of letters of one text, A-Z in lower case, with one letter gone from those that the hash picks."""
     found = Counter(RUN.findall(text.encode().lower().decode()))
     start = zlib.crc32(f"{doc_id}:".encode())
-    for run in [r for r in found if zlib.crc32(r.encode(), start) % DROP_EVERY == 0]:
-        at = zlib.crc32(run.encode(), start) % len(run)
-        found[run[:at] + run[at + 1 :]] += found.pop(run)
+    picked = [(r, h % len(r)) for r in found if (h := zlib.crc32(r.encode(), start)) % DROP_EVERY == 0]
+    # All picked runs go before what is left of them comes, which may be a picked run itself.
+    gone = [(run[:at] + run[at + 1 :], found.pop(run)) for run, at in picked]
+    for run, n in gone:
+        found[run] += n
     return found
 
 

@@ -89,3 +89,11 @@ def test_near_words_share_a_band(spark):
 def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert found(spelling.query(spark, "/root/testdata/sf0.001")) == brute(rows)
+
+
+def test_a_run_left_by_a_picked_one_is_not_picked_again(spark, docs):
+    """Of document 66 the hash picks both runs, and the longer one leaves the shorter one."""
+    rows = [(66, ("a" * 262 + " ") * 6 + ("a" * 261 + " ") * 7)]
+    want = brute(rows)
+    assert [r[3] for r in want] == [7, 6]
+    assert found(spelling.spelling_groups(docs(*rows))) == want
