@@ -5,7 +5,9 @@ Texts are cut once; segments, not texts, meet places, and only those of the two
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_key
@@ -32,20 +34,20 @@ def segments(texts: DataFrame, id_col: str, text_col: str = "text", pattern: str
     return rows.select("id", seq.alias("seq"), start.alias("start"), (start + F.char_length("segment")).alias("end"), "segment")
 
 
-def last_before(places: DataFrame, cut: DataFrame, needle: str, reach: int = LOOK_BACK) -> DataFrame:
+def last_before(places: DataFrame, cut: DataFrame, needle: str, reach: int = LOOK_BACK, key: Callable[[Column], Column] = evidence_key) -> DataFrame:
     """``places`` (id, at, ...) with the last segment of ``cut`` that holds their ``needle`` and ends before them, ``reach`` characters back at most.
 
     A segment that begins further back counts from there on. Both sides meet by text and bin of ``reach``
-    characters, a segment in each bin that it touches.
+    characters, a segment in each bin that it touches. ``key`` makes needles and segments comparable.
     """
     bin_ = lambda c: F.floor(c / reach)
     touched = cut.select("id", "start", "end", "segment", F.explode(F.sequence(bin_(F.col("start")), bin_(F.col("end") - 1))).alias("_bin"))
     rows = places.withColumn("_id", F.struct(*places.columns))
-    asked = rows.select("_id", "id", "at", evidence_key(F.col(needle)).alias("_key"), F.explode(F.array(bin_(F.col("at")), bin_(F.col("at")) - 1)).alias("_bin")).filter("_key <> ''")
+    asked = rows.select("_id", "id", "at", key(F.col(needle)).alias("_key"), F.explode(F.array(bin_(F.col("at")), bin_(F.col("at")) - 1)).alias("_bin")).filter("_key <> ''")
     low = F.col("at") - reach
     seen = F.when(F.col("start") < low, F.substring("segment", (low - F.col("start") + 1).cast("int"), F.char_length("segment"))).otherwise(F.col("segment"))
     met = asked.join(touched, ["id", "_bin"]).filter((F.col("end") <= F.col("at")) & (F.col("end") > low)).withColumn("_seen", F.btrim(seen, F.lit(" \t\n\r\f\x0b")))
-    met = met.filter(F.contains(evidence_key(F.col("_seen")), F.col("_key")))
+    met = met.filter(F.contains(key(F.col("_seen")), F.col("_key")))
     best = met.groupBy("_id").agg(F.max_by(F.struct("_seen", "start"), "start").alias("_b"))
     return rows.join(best, "_id", "left").select(*places.columns, F.col("_b._seen").alias("support"), F.when(F.col("_b").isNotNull(), F.greatest(F.col("_b.start"), F.col("at") - reach)).alias("support_at"))
 
