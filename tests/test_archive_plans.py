@@ -6,6 +6,7 @@ from assaylake.operators import analytic as Y
 from assaylake.operators import archives as A
 from assaylake.plans.nested import corpus
 from assaylake.plans.registry import Tables
+from assaylake.sources.settled import settled
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +25,11 @@ def test_archives_are_derived_from_narrow_rows(archives):
     plan = archives.selectExpr("metadata.archive_id", "size(experiments) AS n")._jdf.queryExecution().executedPlan().toString()
     assert "from_json" not in plan and "relation_id" not in plan
 
+
+
+def test_settled_tables_are_not_broadcast(spark):
+    """A settled table is small on disk however many rows it unfolds to, so its size says nothing of them."""
+    left = settled(spark.range(1000).selectExpr("id", "id % 7 AS k"))
+    right = settled(spark.range(1000).selectExpr("id", "repeat('x', 50) AS v")).filter("v <> ''").select("id")
+    plan = left.join(right, "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
