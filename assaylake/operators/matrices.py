@@ -75,10 +75,10 @@ def matrix_cells(tables: DataFrame, cells: DataFrame, pages: DataFrame) -> DataF
     ``tables``: table_id (unique), source_id, page, table_number, caption; ``cells``: table_id, row, col, text (one of each
     place); ``pages``: source_id, page, text. Null cells are empty; tables that are no matrix give no rows.
     """
-    rows = row_axes(cells)
+    rows = settled(row_axes(cells))
     size = rows.groupBy("table_id").agg(F.first("property").alias("row_property"), F.first("axis_col").alias("axis_col"), F.count(F.lit(1)).alias("_rows"), F.min("row").alias("_first"))
     body = cells.join(rows.select("table_id", "row"), ["table_id", "row"]).withColumn("_number", single_number(F.col("text")))
-    body = body.join(size.select("table_id", "axis_col", "_rows"), "table_id").filter("col <> axis_col")
+    body = settled(body.join(size.select("table_id", "axis_col", "_rows"), "table_id").filter("col <> axis_col"))
     columns = body.groupBy("table_id", "col").agg(F.count("_number").alias("_n"), F.first("_rows").alias("_rows")).filter("_n = _rows").select("table_id", "col")
     wide = columns.groupBy("table_id").agg(F.count(F.lit(1)).alias("_columns")).filter("_columns >= 2")
 
@@ -159,16 +159,23 @@ def recover_matrices(matrices: DataFrame, seeds: DataFrame) -> DataFrame:
     return matrices.join(bound, "table_id").join(common, "table_id").join(taken, ["table_id", "row", "col"], "left")
 
 
+def _printed(text: Column) -> Column:
+    """What ``cell_matches`` compares of a text: its key, how many numbers it has, and the number if it has one."""
+    numbers = reported_numbers(F.coalesce(text, F.lit("")))
+    return F.struct(evidence_key(text).alias("key"), F.size(numbers).alias("n"), F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0))).alias("one"))
+
+
+def _matches(cell: Column, said: Column, value: Column) -> Column:
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= F.greatest(F.lit(1e-9), F.abs(b) * 1e-9), F.lit(False))
+    within = (F.length(cell["key"]) > 0) & (F.length(said["key"]) > 0) & (F.contains(cell["key"], said["key"]) | F.contains(said["key"], cell["key"]))
+    bare = (cell["n"] == 0) & (said["n"] == 0)
+    by_text = within & ((cell["key"] == said["key"]) | bare | near(cell["one"], said["one"]))
+    return by_text | near(cell["one"], value)
+
+
 def cell_matches(text: Column, raw: Column, value: Column) -> Column:
     """A cell shows what was reported: the same text, text within the other without another number, or the same number."""
-    cell, said = evidence_key(text), evidence_key(raw)
-    numbers, said_numbers = reported_numbers(F.coalesce(text, F.lit(""))), reported_numbers(F.coalesce(raw, F.lit("")))
-    one = lambda n: F.when(F.size(n) == 1, F.get(n, F.lit(0)))
-    near = lambda a, b: F.coalesce(F.abs(a - b) <= F.greatest(F.lit(1e-9), F.abs(b) * 1e-9), F.lit(False))
-    within = (F.length(cell) > 0) & (F.length(said) > 0) & (F.contains(cell, said) | F.contains(said, cell))
-    bare = (F.size(numbers) == 0) & (F.size(said_numbers) == 0)
-    by_text = within & ((cell == said) | bare | near(one(numbers), one(said_numbers)))
-    return by_text | near(one(numbers), value)
+    return _matches(_printed(text), _printed(raw), value)
 
 
 def condition_cells(results: DataFrame, conditions: DataFrame, cells: DataFrame) -> DataFrame:
@@ -180,7 +187,8 @@ def condition_cells(results: DataFrame, conditions: DataFrame, cells: DataFrame)
     """
     plain = F.regexp_replace(F.lower("property"), "[^a-z0-9]+", "")
     words = F.create_map(*(x for k, v in CONDITION_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    asked = results.join(conditions.select("point_id", "property", F.col("raw").alias("_raw"), F.col("value").alias("_value"), F.try_element_at(words, plain).alias("_words")), "point_id")
+    # Texts are read once, before they meet: each cell meets several conditions.
+    asked = settled(results.join(conditions.select("point_id", "property", _printed(F.col("raw")).alias("_said"), F.col("value").alias("_value"), F.try_element_at(words, plain).alias("_words")), "point_id"))
     filled = cells.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
     w = Window.partitionBy("table_id", "col").orderBy("row")
     run = evidence_key(F.concat_ws(" ", F.lag("text", 2).over(w), F.lag("text", 1).over(w), F.col("text")))
@@ -191,12 +199,12 @@ def condition_cells(results: DataFrame, conditions: DataFrame, cells: DataFrame)
     left = asked.select(*key, F.explode("_words").alias("_word")).join(headed.withColumnRenamed("col", "_col"), ["table_id", "_word"])
     left = left.filter((F.col("_col") < F.col("col")) & (F.col("_since") < F.col("row"))).groupBy(*key).agg(F.max("_col").alias("_column"))
     asked = asked.join(left, key, "left")
-    other = cells.select(F.col("table_id").alias("_t"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("text").alias("_text"))
+    other = settled(cells.select(F.col("table_id").alias("_t"), F.col("row").alias("_r"), F.col("col").alias("_c"), _printed(F.col("text")).alias("_cell")))
     here = F.col("table_id") == F.col("_t")
     beside = here & (F.col("row") == F.col("_r")) & (F.col("_c") < F.col("col")) & (F.col("_column").isNull() | (F.col("_column") == F.col("_c")))
     in_row = asked.join(other, beside)
     in_col = asked.filter("_column is null").join(other, here & (F.col("col") == F.col("_c")) & (F.col("_r") < F.col("row")))
-    met = in_row.unionByName(in_col).filter(cell_matches(F.col("_text"), F.col("_raw"), F.col("_value")))
+    met = in_row.unionByName(in_col).filter(_matches(F.col("_cell"), F.col("_said"), F.col("_value")))
     hits = met.groupBy(*key).agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("_r", "_c")).alias("_at"))
     out = asked.select(*key).join(hits, key, "left")
     alone = F.when(F.col("found") == 1, F.col("_at"))
@@ -209,8 +217,10 @@ def enrich_conditions(points: DataFrame, conditions: DataFrame, cells: DataFrame
     ``points``: point_id, table_id, raw, value. A cell that shows the value is viable if each condition
     has a cell beside or above it; with no or several viable ones a point stays as it is.
     """
-    shown = points.join(cells, "table_id").filter(cell_matches(F.col("text"), F.col("raw"), F.col("value"))).select("point_id", "table_id", "row", "col")
-    axes = condition_cells(shown, conditions, cells)
+    said = points.select("point_id", "table_id", "value", _printed(F.col("raw")).alias("_said"))
+    met = said.join(cells.select("table_id", "row", "col", _printed(F.col("text")).alias("_cell")), "table_id")
+    shown = settled(met.filter(_matches(F.col("_cell"), F.col("_said"), F.col("value"))).select("point_id", "table_id", "row", "col"))
+    axes = settled(condition_cells(shown, conditions, cells))
     failed = axes.filter("found = 0").select("point_id", "table_id", "row", "col").distinct()
     viable = shown.join(failed, ["point_id", "table_id", "row", "col"], "left_anti")
     alone = viable.groupBy("point_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("point_id")
