@@ -95,10 +95,20 @@ def reserve_quota(requests: DataFrame, per_user: int, per_day: int) -> DataFrame
 
 
 def append_log(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts): a known id with the same row is no news, with another row a conflict."""
-    digest = lambda df: df.withColumn("_d", F.sha2(F.to_json(F.struct(*[c for c in sorted(df.columns) if c != key])), 256))
-    old = digest(existing).select(key, F.col("_d").alias("_old"))
-    rows = digest(new).join(old, key, "left")
-    fresh = rows.filter("_old is null").drop("_old", "_d").dropDuplicates()
-    twice = fresh.groupBy(key).count().filter("count > 1").select(key)
-    return fresh.join(twice, key, "left_anti"), rows.filter("_old <> _d").select(key).unionByName(twice).distinct()
+    """(rows to append, conflicts): a known id with the same row is no news, with another row a conflict.
+
+    Both logs meet in one shuffle and one grouping by id, whose least and greatest rows tell whether an id has several;
+    rows without an id equal none, so each is a group of its own. The number of parts is kept, as parts joined by their
+    compressed sizes would be sorted whole in few tasks.
+    """
+    row = lambda df: F.struct(*[c for c in df.columns if c != key])
+    digest = lambda df: F.sha2(F.to_json(F.struct(*[c for c in sorted(df.columns) if c != key])), 256).alias("_d")
+    rows = new.select(key, F.when(F.col(key).isNull(), row(new)).alias("_own"), digest(new), row(new).alias("_r"))
+    old = existing.filter(F.col(key).isNotNull()).select(key, digest(existing), F.lit(True).alias("_known"))
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = rows.unionByName(old, allowMissingColumns=True).repartition(parts, key, "_own").groupBy(key, "_own").agg(
+        F.max("_known").alias("_known"), F.min("_d").alias("_least"), F.max("_d").alias("_most"), F.min("_r").alias("_r"), F.max("_r").alias("_other"))
+    differ = F.when(F.col("_known"), F.col("_least") != F.col("_most")).otherwise(~F.col("_r").eqNullSafe(F.col("_other")))
+    ids = ids.filter("_r is not null").select(key, "_r", "_known", differ.alias("_differ"))
+    unnamed = ids.filter(F.col(key).isNull()).groupBy(key).count().filter("count > 1").select(key)
+    return ids.filter("_known is null and not _differ").select(key, "_r.*"), ids.filter("_differ").select(key).unionByName(unnamed)

@@ -202,3 +202,22 @@ def test_assembly(spark):
     c = spark.createDataFrame([("c1", "s", 1, "text", "rate was 5.0 and 1,200 units", ["5.0", "1,200"]), ("c2", "s", 1, "text", "rate was 7 units", ["7"]), ("c3", "s", 9, "text", "rate", ["1"])], "candidate_id string, source_id string, page int, origin string, snippet string, numbers array<string>")
     r = spark.createDataFrame([("s", 1, "text", "the rate was 5.0 and 1,200 units", ["5", "1200"]), ("s", 1, "text", "rate was 7 units", ["8"])], "source_id string, page int, origin string, snippet string, numbers array<string>")
     assert rows(assembly.candidate_coverage(c, r), "candidate_id", "covered", "reason") == [("c1", True, "evidence_linked_all_numeric_spans"), ("c2", False, "evidence_linked_missing_numeric_spans"), ("c3", False, "no_contextual_evidence_match")]
+
+
+def test_append_log_by_one_grouping(spark):
+    """Against a plain reading of the rule, with ids that repeat on both sides and rows without an id; no part is joined with another."""
+    rows = lambda *x: spark.createDataFrame(x, "id string, body string, n int")
+    old = [("a", "x", 1), ("b", "x", 1), ("b", "y", 1), ("c", "x", None), (None, "x", 1)]
+    new = [("a", "x", 1), ("a", "x", 1), ("b", "x", 1), ("c", "x", None), ("c", "z", 1), ("d", "x", 1), ("d", "x", 1), ("e", "x", 1), ("e", None, 1), ("f", None, None), (None, "x", 1), (None, "y", 1), (None, "y", 1)]
+    add, conflicts = journal.append_log(rows(*old), rows(*new), "id")
+    known = {}
+    for r in old:
+        known.setdefault(r[0], set()).add(r)
+    fresh = {r for r in new if r[0] is None or r[0] not in known}
+    twice = {k for k in {r[0] for r in fresh} if sum(r[0] == k for r in fresh) > 1}
+    clash = {r[0] for r in new if r[0] is not None and known.get(r[0], {r}) != {r}}
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, add.collect()), key=key) == sorted((r for r in fresh if r[0] is None or r[0] not in twice), key=key)
+    assert sorted((r.id for r in conflicts.collect()), key=str) == sorted(clash | twice, key=str)
+    plan = add._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
