@@ -44,18 +44,26 @@ def live_looking(value: str) -> bool:
     return bits >= min(LIVE_BITS, 0.8 * math.log2(n)) and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the base kinds, in code points, by start and then kind."""
+def base_matches(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, match) of the base kinds, in code points, by start and then kind.
+
+    ``start`` is that of the value, ``match`` that of the whole match; both have the same end.
+    """
     found = []
     low = text.lower()
     if any(h in low for h in _HINTS):
-        found += [(m.start(2), 0, m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        found += [(m.start(2), 0, m.end(2), m.start()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+        found += [(m.start(), 1, m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
     return sorted(found)
 
 
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the values of the base kinds."""
+    return [m[:3] for m in base_matches(text)]
+
+
 def extra_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Long, mixed, live-looking tokens that touch no base span."""
     out, i = [], 0
@@ -71,8 +79,8 @@ def extra_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("hash", T.StringType()), T.StructField("live", T.BooleanType())])
-_ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("live", pa.bool_())]))
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("match", T.IntegerType()), T.StructField("hash", T.StringType()), T.StructField("live", T.BooleanType())])
+_ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("match", pa.int32()), ("hash", pa.string()), ("live", pa.bool_())]))
 
 
 def scan(docs: DataFrame, id_col: str, owner_col: str, repository_col: str, text_col: str) -> DataFrame:
@@ -82,9 +90,10 @@ def scan(docs: DataFrame, id_col: str, owner_col: str, repository_col: str, text
         for b in batches:
             rows = []
             for text in b.column(3).to_pylist():
-                base = base_spans(text or "")
-                spans = sorted(base + extra_spans(text or "", base))
-                rows.append([{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(text[s:e].encode()).hexdigest()[:32], "live": live_looking(text[s:e])} for s, k, e in spans])
+                base = base_matches(text or "")
+                extra = extra_spans(text or "", [m[:3] for m in base])
+                spans = sorted(base + [(s, k, e, s) for s, k, e in extra])
+                rows.append([{"start": s, "kind": k, "end": e, "match": m, "hash": hashlib.sha256(text[s:e].encode()).hexdigest()[:32], "live": live_looking(text[s:e])} for s, k, e, m in spans])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, _ARROW_SPAN)], ["doc_id", "owner", "repository", "found"])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -100,8 +109,8 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repository_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of every row of ``docs``, one row for each.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repository_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Spans of every row of ``docs``, one row for each: those of the values, or of the ``whole`` matches.
 
     Null and empty texts have no spans; null owners are one owner and null repositories one
     repository; repeated rows are reported each and count as one repository. Columns besides the
@@ -116,20 +125,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
     wide = (F.col("owners") >= WIDE_OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") >= WIDE_REPOSITORIES))
     own = ~wide & (F.col("owners") == 1) & F.col("live")
     each = each.withColumn("wide", wide).withColumn("own", own).filter((F.col("kind") < 3) | F.col("own"))
-    span = F.struct("start", "kind", "end")
+    start = "match" if whole else "start"
+    span = F.struct(F.col(start).alias("start"), "kind", "end")
     one = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
     spans = each.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("all"), one("wide").alias("n_example"), one("own").alias("n_live"))
     kinds = F.array(*(F.lit(k) for k in KINDS))
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    base = F.array_sort(F.transform(F.filter("found", lambda s: s["kind"] < 3), lambda s: F.struct(s[start].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return rows.join(spans, "rid", "left").select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(text(F.filter("found", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        F.sha2(text(base), 256).alias("base_sha256"),
         text(F.coalesce("all", none)).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The spans of whole matches: only of them the contract speaks, group 2 is but tested for its length."""
+    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True)
