@@ -216,3 +216,14 @@ def test_very_long_lines_meet(spark, docs):
     apart = [f"word{rng.randrange(10**6)}" for _ in range(5000)]
     got = lines.dedup_lines(docs((1, " ".join(words)), (2, " ".join(other)), (3, " ".join(apart)))).collect()
     assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 0}
+
+
+def test_buckets_that_many_lines_share_lose_no_link(spark, docs, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice(["red", "green", "blue"]) for _ in range(12))) for i in range(400)]
+    want, n = brute_lines(spark, rows)
+    assert n > 50
+    for tile in (2048, 40):
+        monkeypatch.setattr(linking, "TILE_ROWS", tile)
+        got = lines.dedup_lines(docs(*rows)).collect()
+        assert sorted(((r.doc_id, r.kept_text) for r in got), key=str) == want
