@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.journal import append_log
@@ -26,8 +26,23 @@ def get(archives: DataFrame, archive_id: str) -> DataFrame:
 
 
 def duplicate_ids(archives: DataFrame) -> DataFrame:
-    """Ids of more than one archive: an index over the log is refused while there are any."""
-    return archives.groupBy(F.col("metadata.archive_id").alias("archive_id")).count().filter("count > 1")
+    """(archive_id, n) of ids of more than one archive: an index over the log is refused while there are any."""
+    return archives.groupBy(F.col("metadata.archive_id").alias("archive_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def rebuild_index(archives: DataFrame) -> DataFrame:
+    """(archive_id, ordinal) of the archives that ``read_archives`` gives: where each stands in the log, from 0, file by file.
+
+    An id of more than one archive is refused. Only the counts of the files' blocks meet in one task.
+    """
+    if twice := duplicate_ids(archives).head(1):
+        raise ValueError(f"duplicate historical archive_id: {twice[0].archive_id}")
+    block = ["file_path", "file_block_start"]
+    rows = archives.select(F.col("metadata.archive_id").alias("archive_id"), *(F.col(f"_metadata.{c}") for c in block), F.monotonically_increasing_id().alias("_at"))
+    before = F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).select(*block, F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*block).orderBy("_at")) - 1
+    return rows.withColumn("_within", within).join(F.broadcast(starts), block).select("archive_id", (F.col("_before") + F.col("_within")).alias("ordinal"))
 
 
 def append(spark: SparkSession, path: str, new: DataFrame, key: str = "id") -> DataFrame:

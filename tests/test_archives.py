@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.operators import analytic, archives
+from assaylake.plans import nested  # noqa: F401  it registers its queries
+from assaylake.plans.registry import QUERIES
 from assaylake.schema import ARCHIVE
 from assaylake.sources import logs, sinks
 
@@ -145,3 +147,20 @@ def test_logs(spark, tmp_path):
 
 def test_schema_round_trip(spark):
     assert spark.createDataFrame([], ARCHIVE).columns[0] == "metadata"
+
+
+def test_duplicate_ids_and_index(spark, table):
+    """Each id comes with how many archives have it; an index is made of a log without such ids only."""
+    twice = table(archive(1), archive(2), archive(3), archive(2), archive(1), archive(2))
+    assert sorted(logs.duplicate_ids(twice).collect()) == [("arc-1", 2), ("arc-2", 3)]
+    with pytest.raises(ValueError, match="duplicate historical archive_id"):
+        logs.rebuild_index(twice)
+    assert sorted(logs.rebuild_index(table(archive(3), archive(1), archive(2))).collect()) == [("arc-1", 1), ("arc-2", 2), ("arc-3", 0)]
+
+
+def test_duplicate_orders_are_counted(spark, tmp_path):
+    for name in ("orders", "lineitem", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_orderkey <= 2").orderBy("o_orderkey").limit(1)
+    orders.union(orders).write.mode("append").parquet(f"file://{tmp_path}/orders.parquet")
+    assert [r.n for r in QUERIES["archive_duplicate_ids"](spark, f"file://{tmp_path}").collect()] == [3]
