@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import reported_numbers
+from .text import once
 
 #: Terms of impedance tables, with the property and the part of the circuit that each means.
 CIRCUIT_TERMS = {
@@ -44,8 +45,7 @@ def circuit_term(term: Column) -> Column:
 
 def single_number(raw: Column) -> Column:
     """The one number that a text prints; null if it prints none or several."""
-    numbers = reported_numbers(raw)
-    return F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0)))
+    return once(reported_numbers(raw), lambda numbers: F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0))))
 
 
 def c_rate(raw: Column) -> Column:

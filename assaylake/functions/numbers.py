@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
 RANGE = r"(?i)\d\s*(?:-|–|—|to)\s*\d"
 
@@ -64,11 +66,15 @@ def integral(value: Column) -> Column:
 def reported_numbers(c: Column) -> Column:
     """All numbers printed in a text; grouping commas dropped, products with powers of ten multiplied out."""
     text = F.regexp_replace(F.replace(c, F.lit("−"), F.lit("-")), r"(?<=\d),(?=\d{3}(?:\D|$))", "")
-    plain = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![\w.]){NUMBER}"), 0), lambda x: x.try_cast("double"))
     product = rf"(?<![\w.])([-+]?(?:\d+(?:\.\d*)?|\.\d+))\s*[×x*]\s*10\s*\^?\s*\{{?\s*([-+]?\d+)\s*\}}?"
-    base, power = F.regexp_extract_all(text, F.lit(product), 1), F.regexp_extract_all(text, F.lit(product), 2)
-    scaled = F.transform(F.arrays_zip(base.alias("b"), power.alias("p")), lambda z: F.concat(z["b"], F.lit("e"), z["p"]).try_cast("double"))
-    return F.concat(plain, scaled)
+
+    def read(t: Column) -> Column:
+        plain = F.transform(F.regexp_extract_all(t, F.lit(rf"(?<![\w.]){NUMBER}"), 0), lambda x: x.try_cast("double"))
+        base, power = F.regexp_extract_all(t, F.lit(product), 1), F.regexp_extract_all(t, F.lit(product), 2)
+        scaled = F.transform(F.arrays_zip(base.alias("b"), power.alias("p")), lambda z: F.concat(z["b"], F.lit("e"), z["p"]).try_cast("double"))
+        return F.when(F.contains(t, F.lit("10")), F.concat(plain, scaled)).otherwise(plain)
+
+    return once(text, read)
 
 
 def supports_value(c: Column, value: Column, rel: float = 1e-8, abs_tol: float = 1e-20) -> Column:

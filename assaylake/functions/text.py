@@ -51,6 +51,16 @@ def _typography(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, "[" + "".join(k for k, v in TYPOGRAPHY.items() if not v) + "]", ""), "".join(single), "".join(single.values()))
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def beyond_ascii(c: Column) -> Column:
+    """A text with other than ASCII characters, else null: all that the Arrow UDFs could change but for case."""
+    return F.when(F.octet_length(c) != F.char_length(c), c)
+
+
 def collapse(c: Column) -> Column:
     """White space as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -65,9 +75,11 @@ def scientific_key(c: Column, fold: bool = True) -> Column:
 
 
 def evidence_key(c: Column) -> Column:
-    """Comparison key of an evidence snippet: NUL-tolerant, folded, white space collapsed."""
-    text = _typography(nfkc(F.replace(F.coalesce(c, F.lit("")), F.lit("\u0000"), F.lit(" "))))
-    return casefold(collapse(F.regexp_replace(text, r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")))
+    """Comparison key of an evidence snippet: NUL-tolerant, folded, white space collapsed. ASCII texts need no UDF."""
+    text = F.replace(F.coalesce(c, F.lit("")), F.lit("\u0000"), F.lit(" "))
+    joined = lambda x: collapse(F.regexp_replace(x, r"(?U)(?<=\w)-\s*\n\s*(?=\w)", ""))
+    plain = F.when(F.rlike(text, F.lit(r"[\x00-\x1F\x7F]|  |^ | $")), F.lower(joined(text))).otherwise(F.lower(text))
+    return F.coalesce(casefold(joined(_typography(nfkc(beyond_ascii(text))))), plain)
 
 
 def ascii_key(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axes import axis_scalar, single_number
 from ..functions.numbers import reported_numbers
-from ..functions.text import evidence_key
+from ..functions.text import evidence_key, once
 from ..sources.settled import settled
 from . import frames as O
 
@@ -31,11 +31,12 @@ _DEGREES = r"(?i)([−–—-]?\s*\d+(?:\.\d+)?)\s*[°◦]\s*C"
 
 def axis_semantics(text: Column) -> Column:
     """(property, unit) of each quantity that a header or caption names, in the order of AXES."""
-    key = evidence_key(text)
-    words = F.btrim(F.regexp_replace(key, "[^a-z0-9%]+", " "))
-    named = [F.when(F.rlike(words, F.lit(p)) | (F.rlike(key, F.lit("[°◦]c")) if name == "temperature" else F.lit(False)), F.struct(F.lit(name).alias("property"), F.lit(unit).cast("string").alias("unit"))) for name, unit, p in AXES]
-    rate = F.when(F.contains(words, F.lit("rate")) & F.rlike(words, F.lit(r"(?:^|\s)c(?:\s|$)")), F.struct(F.lit("C_rate").alias("property"), F.lit("C").alias("unit")))
-    return F.array_compact(F.array(*named, rate))
+    def named(key: Column, words: Column) -> Column:
+        each = [F.when(F.rlike(words, F.lit(p)) | (F.rlike(key, F.lit("[°◦]c")) if name == "temperature" else F.lit(False)), F.struct(F.lit(name).alias("property"), F.lit(unit).cast("string").alias("unit"))) for name, unit, p in AXES]
+        rate = F.when(F.contains(words, F.lit("rate")) & F.rlike(words, F.lit(r"(?:^|\s)c(?:\s|$)")), F.struct(F.lit("C_rate").alias("property"), F.lit("C").alias("unit")))
+        return F.array_compact(F.array(*each, rate))
+
+    return once(evidence_key(text), lambda key: once(F.btrim(F.regexp_replace(key, "[^a-z0-9%]+", " ")), lambda words: named(key, words)))
 
 
 def row_axes(cells: DataFrame) -> DataFrame:
@@ -44,7 +45,10 @@ def row_axes(cells: DataFrame) -> DataFrame:
     Of all headers that name a quantity, the one with most values of it below counts; ties go to the
     leftmost column, then the upper header. How many values stand below each header is a running count.
     """
-    named = cells.select("table_id", "col", "row", F.posexplode(axis_semantics(F.col("text"))).alias("ord", "s")).select("table_id", "col", "row", "ord", "s.property", "s.unit")
+    # Each quantity is named by letters, so cells of digits and signs alone name none.
+    lettered = cells.filter(F.rlike("text", F.lit(r"[A-Za-z]|[^\x00-\x7F]")))
+    named = lettered.select("table_id", "col", "row", F.posexplode(axis_semantics(F.col("text"))).alias("ord", "s"))
+    named = settled(named.select("table_id", "col", "row", "ord", "s.property", "s.unit"))
     asked = named.select("table_id", "col", "property", "unit").distinct()
     values = cells.join(asked, ["table_id", "col"]).withColumn("value", axis_scalar(F.col("text"), F.col("property")))
     below = Window.partitionBy("table_id", "col", "property").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -161,8 +165,9 @@ def recover_matrices(matrices: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def _printed(text: Column) -> Column:
     """What ``cell_matches`` compares of a text: its key, how many numbers it has, and the number if it has one."""
-    numbers = reported_numbers(F.coalesce(text, F.lit("")))
-    return F.struct(evidence_key(text).alias("key"), F.size(numbers).alias("n"), F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0))).alias("one"))
+    one = lambda numbers: F.struct(F.size(numbers).alias("n"), F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0))).alias("one"))
+    read = lambda key: once(reported_numbers(F.coalesce(text, F.lit(""))), lambda x: once(one(x), lambda o: F.struct(key.alias("key"), o["n"].alias("n"), o["one"].alias("one"))))
+    return once(evidence_key(text), read)
 
 
 def _matches(cell: Column, said: Column, value: Column) -> Column:
@@ -193,8 +198,8 @@ def condition_cells(results: DataFrame, conditions: DataFrame, cells: DataFrame)
     w = Window.partitionBy("table_id", "col").orderBy("row")
     run = evidence_key(F.concat_ws(" ", F.lag("text", 2).over(w), F.lag("text", 1).over(w), F.col("text")))
     headed = filled.select("table_id", "col", "row", run.alias("_run"))
-    listed = [F.when(F.contains("_run", F.lit(x)), F.lit(x)) for x in sorted({x for v in CONDITION_WORDS.values() for x in v})]
-    headed = headed.select("table_id", "col", "row", F.explode(F.array_compact(F.array(*listed))).alias("_word")).groupBy("table_id", "col", "_word").agg(F.min("row").alias("_since"))
+    listed = lambda run: F.array_compact(F.array(*(F.when(F.contains(run, F.lit(x)), F.lit(x)) for x in sorted({x for v in CONDITION_WORDS.values() for x in v}))))
+    headed = headed.select("table_id", "col", "row", F.explode(once(F.col("_run"), listed)).alias("_word")).groupBy("table_id", "col", "_word").agg(F.min("row").alias("_since"))
     key = ["point_id", "property", "table_id", "row", "col"]
     left = asked.select(*key, F.explode("_words").alias("_word")).join(headed.withColumnRenamed("col", "_col"), ["table_id", "_word"])
     left = left.filter((F.col("_col") < F.col("col")) & (F.col("_since") < F.col("row"))).groupBy(*key).agg(F.max("_col").alias("_column"))
